@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.query,
     "op9_mixing": mixing.query,
 }
 SQL = {
