@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, simhash, toxicity
 
 QUERIES = {
     "op4_simhash": simhash.query,
+    "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
 }
 SQL = {
