@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, toxicity
+from . import bpe, mixing, simhash, toxicity
 
 QUERIES = {
+    "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
