@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, toxicity
+from . import bpe, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
+    "op5_pii": pii.query,
     "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
 }
