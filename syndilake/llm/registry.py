@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, simhash, toxicity
+from . import bpe, media, mixing, pii, simhash, toxicity
 
 QUERIES = {
+    "op2_media": media.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op5_pii": pii.query,
