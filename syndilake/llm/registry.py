@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, pii, simhash, toxicity
+from . import bpe, media, mixing, neighbours, pii, simhash, toxicity
 
 QUERIES = {
     "op2_media": media.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
+    "op10_neighbours": neighbours.query,
 }
 SQL = {
     "op9_mixing": mixing.SQL,
