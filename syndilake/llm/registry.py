@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neighbours, pii, simhash, toxicity
+from . import bpe, media, mixing, neighbours, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_media": media.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
     "op5_pii": pii.query,
+    "op6_secrets": secrets.query,
     "op7_toxicity": toxicity.query,
     "op9_mixing": mixing.query,
     "op10_neighbours": neighbours.query,
