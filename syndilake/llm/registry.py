@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neighbours, pii, secrets, simhash, toxicity
+from . import bpe, media, mixing, neighbours, pii, secrets, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_tokens": tokens.query,
     "op2_media": media.query,
     "op3_bpe": bpe.query,
     "op4_simhash": simhash.query,
