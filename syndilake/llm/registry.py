@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, neighbours, pii, secrets, simhash, tokens, toxicity
+from . import bpe, chat, media, mixing, neighbours, pii, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_secrets": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op8_chat": chat.query,
     "op9_mixing": mixing.query,
     "op10_neighbours": neighbours.query,
 }
