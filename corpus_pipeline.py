@@ -1,20 +1,78 @@
-"""A corpus pipeline of five stages, each a thin use of one operator of syndilake.llm."""
+"""A corpus pipeline: toxic documents go, one document of each group of near-duplicates stays, personal data is masked,
+sources are mixed to target weights, and what is left is encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from syndilake.llm import bpe, mixing, pii, simhash, toxicity
+from syndilake.llm.common import cut, scratch, table
+from syndilake.ship import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine predicts as toxic go; it learns from the labels of the table itself."""
+    ship(spark)
+    rated = toxicity.score(docs.select(*COLUMNS), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rated.filter(F.col("predicted") == 0).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates its smallest doc_id stays, one row of it if that repeats; rows without a doc_id stay."""
+    ship(spark)
+    found = simhash.near_duplicates(docs)
+    kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    first = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull())).select(*COLUMNS)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked, and terms that reveal it generalised or removed; n_chars is that of the new text."""
+    ship(spark)
+    clean = pii.sanitise(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stays in as many whole copies as the mix takes of it, rounded: 0, 1 or 2."""
+    ship(spark)
+    taken = cut(mixing.mix(docs).filter(F.col("whole") > 0).groupBy("doc_id").agg(F.max("whole").alias("whole")))
+    copies = docs.select(*COLUMNS).join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole"))))
+    return copies.select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy."""
+    ship(spark)
+    return bpe.digests(docs, *bpe.default())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic),
+    ("simhash near-dedup", near_duplicates),
+    ("pii", personal_data),
+    ("mixing", mix),
+    ("byte-level bpe", encode),
+]
+#: Trained models and hashes in Python aren't in reach of SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written as Parquet in the shared folder and read again."""
-    from syndilake.llm.common import scratch
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    to = f"{scratch(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
+        docs = spark.read.parquet(f"{to}/{k}")
     return docs
