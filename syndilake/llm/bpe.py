@@ -10,6 +10,7 @@ replayed once for as long as it's remembered.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from array import array
@@ -23,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import mapped, table
 
@@ -32,9 +34,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 BREAK = re.compile(f"(?<=[^{SPACE}])(?= [^{SPACE}])")
 #: Texts are cut into pieces of about this many characters, words are remembered up to as many, and results are passed on at as many bytes.
-PIECE, MEMORY, BLOCK = 1 << 20, 8 << 20, 4 << 20
-#: Units that are numbered before their words are replayed, in one task.
-MOST_UNITS = 4 << 20
+PIECE, MEMORY, BLOCK = 1 << 20, 6 << 20, 2 << 20
+#: Units that are numbered before their words are replayed, and bytes of words that are replayed at once.
+MOST_UNITS, MOST_BYTES = 2 << 20, 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -154,25 +156,33 @@ class Vocabulary:
 
     def learn(self) -> None:
         """Packs the ids of the units that were numbered since the last time."""
-        units = list(islice(self.units, len(self.packed), None))
-        parts = [self.pattern.findall(u) for u in units]
-        new = list(set(chain.from_iterable(parts)) - self.words.keys())
-        hard = []
-        for w in new:
-            raw = w.encode("utf-8", "surrogatepass")
-            if (r := self.ranks.get(raw)) is not None:
-                self.words[w] = pack([r])
-            else:
-                hard.append((w, raw))
-        self.words.update(zip([w for w, _ in hard], self.replay([raw for _, raw in hard])))
+        known, waiting, size = len(self.packed), {}, 0
+
+        def replayed() -> None:
+            self.words.update(zip(waiting, self.replay(list(waiting.values()))))
+            waiting.clear()
+
+        for unit in islice(self.units, known, None):
+            self.held += 2 * len(unit)
+            for w in self.pattern.findall(unit):
+                if w not in self.words and w not in waiting:
+                    raw = w.encode("utf-8", "surrogatepass")
+                    if (r := self.ranks.get(raw)) is not None:
+                        self.words[w] = pack([r])
+                    else:
+                        waiting[w] = raw
+                        size += len(raw)
+            if size > MOST_BYTES:
+                replayed()
+                size = 0
+        replayed()
         get = self.words.__getitem__
-        self.packed += [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in parts]
-        self.held += sum(map(len, units)) + sum(map(len, new))
+        self.packed += [b"".join(map(get, self.pattern.findall(unit))) for unit in islice(self.units, known, None)]
 
     def number(self, text: str) -> array:
         """The numbers of the text's units; encode() turns them into ids."""
         number = self.units.__getitem__
-        return array("l", chain.from_iterable(map(number, UNIT.findall(x)) for x in pieces(text)))
+        return array("i", chain.from_iterable(map(number, UNIT.findall(x)) for x in pieces(text)))
 
     def encode(self, numbered: list[array]) -> Iterator[bytes]:
         """Packed ids of each text. Then what is remembered is dropped if it's much."""
@@ -219,6 +229,86 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers; see unpack().
+
+    Null and empty texts have no ids. Repeated rows give a row each; ids of documents may be null. An empty table gives
+    no rows. Other columns are ignored, whatever their names. Texts of any length are read piece by piece.
+    """
+    own, kind = _own(docs, id_col, text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for ids, packed in encoded(batches, vocabulary(path, pattern)):
+            yield {"doc_id": ids, "n_tokens": [len(x) // 4 for x in packed], "ids": packed}
+
+    return mapped(own, rows, f"doc_id {kind.simpleString()}, n_tokens long, ids binary", pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataType]:
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own, own.schema["doc_id"].dataType
+
+
+def encoded(batches: Iterator[pa.RecordBatch], coder: Vocabulary) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids of documents, packed ids of their texts), some documents at a time."""
+
+    def emit(ids: list, numbered: list[array]) -> Iterator[tuple[list, list[bytes]]]:
+        own, out, size = [], [], 0
+        for doc_id, packed in zip(ids, coder.encode(numbered)):
+            own.append(doc_id)
+            out.append(packed)
+            size += len(packed)
+            if size > BLOCK:
+                yield own, out
+                own, out, size = [], [], 0
+        yield own, out
+
+    ids, numbered, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            ids.append(doc_id.as_py())
+            numbered.append(coder.number(text.as_py() or ""))
+            size += len(numbered[-1])
+            if size > MOST_UNITS:
+                yield from emit(ids, numbered)
+                ids, numbered, size = [], [], 0
+    yield from emit(ids, numbered)
+
+
+def decode(self, packed: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist()))
+
+
+def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Places without those that start where the pair of the place before ends."""
+    keep, ahead = [], -1
+    for i, j in zip(at.tolist(), after[at].tolist()):
+        if i != ahead:
+            keep.append(i)
+            ahead = j
+    return np.array(keep, at.dtype)
+
+
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return b"".join([x.to_bytes(4, "little") for x in ids])
+
+
+@lru_cache(2)
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """One for each Python worker."""
+    return Vocabulary(path, pattern)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text, cut where a unit ends."""
+    at = 0
+    while len(text) - at > 2 * PIECE and (m := BREAK.search(text, at + PIECE)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers; see unpack().
 
@@ -284,9 +374,16 @@ def unpack(ids: str = "ids"):  # noqa: ANN201
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what was encoded, and what decoding gave back."""
-    both = decode(encode(docs, path, pattern, id_col, text_col), path, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass of Python workers."""
+    own, kind = _own(docs, id_col, text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder = vocabulary(path, pattern)
+        for ids, packed in encoded(batches, coder):
+            yield {"doc_id": ids, "n_tokens": [len(x) // 4 for x in packed], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed], "decoded_sha256": [hashlib.sha256(coder.decode(x)).hexdigest() for x in packed]}
+
+    types = pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return mapped(own, rows, f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", types)
 
 
 def default() -> tuple[str, str]:
