@@ -36,7 +36,7 @@ def known_media_type(header: Column) -> Column:
 def charset(header: Column) -> Column:
     """Value of the last charset parameter, lower case and without quotes; else empty."""
     parts = F.slice(F.split(F.lower(F.coalesce(header, F.lit(""))), ";"), 2, 1 << 20)
-    named = F.filter(F.transform(parts, F.trim), lambda p: p.startswith("charset="))
+    named = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("charset="))
     return F.coalesce(F.trim(F.regexp_replace(F.substring_index(F.get(named, F.size(named) - 1), "=", -1), '"', "")), F.lit(""))
 
 
