@@ -24,7 +24,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the least node that it is linked to.
+    """(node, component) for the nodes of edges (a, b) that are linked to a smaller one: the least that they reach.
 
     Both star operations keep what is connected; when a round changes nothing, each node points to its component.
     Self-links and repeated edges don't matter; nulls are left out. No node's neighbours are gathered in one place:

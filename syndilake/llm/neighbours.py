@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import cut, mapped, table
 
 #: Vectors that the centroids are fitted to, the first by hash of their id; centroids of each half; part of the index
-#: that a query sees, larger cells counting as 1 / EVEN of the index; entries of a block; neighbours of a query.
-SAMPLE, CENTROIDS, SEEN, EVEN, BLOCK, TOP = 20_000, 32, 0.55, 64, 4_096, 5
+#: that a query sees, larger cells counting as 1 / EVEN of the index; entries that it sees at least; entries of a block;
+#: neighbours of a query.
+SAMPLE, CENTROIDS, SEEN, EVEN, FEWEST, BLOCK, TOP = 20_000, 32, 0.55, 64, 1_000, 4_096, 5
 
 
 def usable(vector: Column) -> Column:
@@ -121,7 +122,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
         held[r.a, r.b] = r["count"]
     blocks = np.maximum(1, -(-held.sum(1) // BLOCK)).astype(int).tolist()
     counted = np.minimum(held, n // EVEN + 1)
-    enough = counted.sum() * seen if seen < 1 else np.inf
+    enough = max(counted.sum() * seen, FEWEST) if seen < 1 else np.inf
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
