@@ -63,7 +63,7 @@ def entry_title(text: Column) -> Column:
 
 def error_label(error: Column) -> Column:
     """First line, before a comma or a position; 160 characters at most; ParseError if that's empty."""
-    line = F.trim(F.substring_index(F.regexp_replace(F.trim(F.coalesce(error, F.lit(""))), r"[\r\n][\s\S]*$", ""), ",", 1))
+    line = F.trim(F.substring_index(F.regexp_replace(F.regexp_replace(F.coalesce(error, F.lit("")), r"^\s+", ""), r"[\r\n][\s\S]*$", ""), ",", 1))
     line = F.trim(F.regexp_replace(line, r":? line [0-9]+$", ""))
     return F.when(line == "", "ParseError").when(F.length(line) > 160, F.concat(F.substring(line, 1, 157), F.lit("..."))).otherwise(line)
 

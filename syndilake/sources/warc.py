@@ -6,8 +6,8 @@ A reader holds one record at a time. Files that can't be read to their end give
 from __future__ import annotations
 
 import glob
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -24,6 +24,31 @@ BODY_BYTES = 10 << 20
 _FIELDS = schema.RESPONSES.fieldNames()
 
 
+class _Unpacked(io.RawIOBase):
+    """The bytes of a file of gzip members, up to where it's cut off; then EOFError."""
+
+    def __init__(self, packed: BinaryIO) -> None:
+        self.packed, self.member, self.left, self.ready = packed, zlib.decompressobj(31), b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out: memoryview) -> int:
+        while not self.ready:
+            data = self.left or self.packed.read(1 << 16)
+            if self.member.eof:
+                if not data:
+                    return 0
+                self.member = zlib.decompressobj(31)
+            elif not data:
+                raise EOFError("cut off")
+            self.ready = self.member.decompress(data)
+            self.left = self.member.unused_data
+        n = min(len(out), len(self.ready))
+        out[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
+
+
 def _head(lines: BinaryIO) -> tuple[str, dict[str, str]]:
     """First line and the headers after it, keys in lower case; folded lines are joined."""
     first, out, last = lines.readline().decode("latin-1").strip(), {}, ""
@@ -51,7 +76,7 @@ def records(stream: BinaryIO, path: str, responses_only: bool = True, limit: int
     """Rows of a WARC, compressed or not; `limit` counts records of any type, as they are read."""
     packed = stream.read(2) == b"\x1f\x8b"
     stream.seek(0)
-    lines: BinaryIO = io.BufferedReader(gzip.GzipFile(fileobj=stream)) if packed else stream  # type: ignore[arg-type, assignment]
+    lines: BinaryIO = io.BufferedReader(_Unpacked(stream)) if packed else stream  # type: ignore[assignment]
     blank = dict.fromkeys(_FIELDS) | {"warc_path": path}
     seen = 0
     try:
@@ -74,7 +99,7 @@ def records(stream: BinaryIO, path: str, responses_only: bool = True, limit: int
                 yield row | {"http_status": status, "http_headers": list((http_headers or {}).items()) if http_headers is not None else None, "body": body}
             elif not responses_only:
                 yield row
-    except (OSError, EOFError, ValueError) as broken:
+    except (OSError, EOFError, ValueError, zlib.error) as broken:
         yield blank | {"error": type(broken).__name__, "offset": seen}
 
 
