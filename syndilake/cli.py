@@ -51,17 +51,15 @@ def main(args: list[str] | None = None) -> int:
             return fetch.get(url, own.timeout, own.max_bytes)
 
         rows = survey.opml_responses(spark, lists.read_opml(spark, own.source), fetcher, not own.no_html)
-        rows.write.mode("overwrite").parquet(f"{own.facts}/responses")
-        kept = survey.write(survey.opml_facts(spark.read.parquet(f"{own.facts}/responses"), epoch), own.facts)
-        survey.report(kept, render.opml_title(own.source), own.out)
+        survey.report(survey.opml_facts(rows, epoch, own.facts), render.opml_title(own.source), own.out)
     else:
         paths = own.warcs
         if paths.startswith("@"):
             paths = ",".join(r.path for r in lists.paths(spark, paths[1:], own.limit).collect())
         options = {"limit_records": own.limit_records} if own.limit_records else {}
         top = lists.top_sites(spark, own.top_sites, own.top) if own.top_sites else None
-        kept = survey.write(survey.facts(warc.read_warc(spark, paths, **options), top, epoch), own.facts)
-        survey.report(kept, f"Feeds of {own.warcs}", own.out)
+        routes = survey.staged(warc.read_warc(spark, paths, **options), top, own.facts)
+        survey.report(survey.facts(routes, epoch, own.facts), f"Feeds of {own.warcs}", own.out)
     return 0
 
 

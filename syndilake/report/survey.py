@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import content
 from ..operators import feeds, pages, routing
 from ..plans import feeds as reports
 from ..sources import fetch
@@ -14,34 +15,42 @@ from . import render
 from .tables import tables
 
 
-def facts(responses: DataFrame, top_sites: DataFrame | None, now: Column) -> dict[str, DataFrame]:
-    """feeds (one for each URL), links, pages, page_types and counters of responses; write them as Parquet before reporting."""
+def kept(frame: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """A frame as a Parquet table, and read again."""
+    out = frame.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def staged(responses: DataFrame, top_sites: DataFrame | None, folder: str) -> DataFrame:
+    """Routed responses as a table with a part for each route: the sources are read this once.
+
+    Bodies are kept where something reads them: the first bytes of pages, all of feeds, nothing of the rest.
+    """
     routes = routing.routed(routing.scoped(responses, top_sites))
+    feed = F.when(F.col("route").isin("feed", "sniffed"), F.substring("body", 1, content.FEED_BYTES))
+    body = F.when(F.col("route") == "html", F.substring("body", 1, content.HTML_BYTES)).otherwise(feed)
+    return kept(routes.withColumn("body", body), f"{folder}/routes", by="route")
+
+
+def facts(routes: DataFrame, now: Column, folder: str) -> dict[str, DataFrame]:
+    """Writes and gives feeds (one for each URL), links, pages, page_types and counters of staged responses."""
     html = routing.html_pages(routes)
-    found = pages.links(html)
+    links = kept(pages.links(html), f"{folder}/links")
     return {
-        "feeds": reports.latest(feeds.records(routing.feed_responses(routes), now)),
-        "links": found,
-        "pages": pages.described(html, found),
+        "links": links,
+        "pages": kept(pages.described(html, links), f"{folder}/pages"),
+        "feeds": kept(reports.latest(feeds.records(routing.feed_responses(routes), now)), f"{folder}/feeds"),
         "page_types": routes.filter("route <> 'dropped'").select("content_type"),
-        "counters": routing.counters(routes),
+        "counters": kept(routing.counters(routes), f"{folder}/counters"),
     }
 
 
-def write(all_facts: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Facts as Parquet tables below a folder of any store, and read again."""
-    out = {}
-    for name, frame in all_facts.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
-        out[name] = frame.sparkSession.read.parquet(f"{folder}/{name}")
-    return out
-
-
-def report(kept: dict[str, DataFrame], heading: str, path: str) -> dict[str, str]:
+def report(tables_of: dict[str, DataFrame], heading: str, path: str) -> dict[str, str]:
     """Writes HTML to a path and Markdown beside it; the newest crawl date stands for now."""
-    counters = kept["counters"].first()
+    counters = tables_of["counters"].first()
     now = F.to_timestamp(F.lit(counters["max_crawl_time"] or "1970-01-01T00:00:00Z"))
-    made = tables(kept["feeds"], kept["links"], kept["pages"], now, kept["page_types"], counters["html_pages"], counters["sites"])
+    made = tables(*(tables_of[t] for t in ("feeds", "links", "pages")), now, tables_of["page_types"], counters["html_pages"], counters["sites"])
     data = render.collected(made)
     made["scores"].unpersist()
     out = {path: render.page(heading, data), render.beside(path): render.markdown(heading, data)}
@@ -58,11 +67,17 @@ def opml_responses(spark: SparkSession, entries: DataFrame, fetcher: fetch.Fetch
     return own.unionByName(fetch.fetched(entries.select(F.col("html_url").alias("url")), fetcher, source="page"))
 
 
-def opml_facts(responses: DataFrame, now: Column) -> dict[str, DataFrame]:
+def opml_facts(responses: DataFrame, now: Column, folder: str) -> dict[str, DataFrame]:
     """Facts of a list: any answer of a feed is parsed, any answer of a page is looked through, at full length."""
-    of_feeds = responses.filter("candidate_source = 'opml'")
-    html = responses.filter((F.col("candidate_source") == "page") & feeds.answered(F.col("http_status"))).select("url", F.col("body").alias("html"))
-    found = pages.links(html)
-    routes = routing.routed(responses)
-    counted = routing.counters(routes.filter("candidate_source = 'page'")).drop("max_crawl_time").crossJoin(routes.agg(F.max("warc_date").alias("max_crawl_time")))  # one row each
-    return {"feeds": reports.latest(feeds.records(of_feeds, now)), "links": found, "pages": pages.described(html, found), "page_types": routes.filter("candidate_source = 'page'").select("content_type"), "counters": counted}
+    responses = kept(responses, f"{folder}/responses")  # nothing is fetched again
+    of_pages = responses.filter("candidate_source = 'page'")
+    html = of_pages.filter(feeds.answered(F.col("http_status"))).select("url", F.col("body").alias("html"))
+    links = kept(pages.links(html), f"{folder}/links")
+    counted = routing.counters(routing.routed(of_pages)).drop("max_crawl_time")
+    return {
+        "links": links,
+        "pages": kept(pages.described(html, links), f"{folder}/pages"),
+        "feeds": kept(reports.latest(feeds.records(responses.filter("candidate_source = 'opml'"), now)), f"{folder}/feeds"),
+        "page_types": routing.routed(of_pages).select("content_type"),
+        "counters": kept(counted.crossJoin(responses.agg(F.max("warc_date").alias("max_crawl_time"))), f"{folder}/counters"),  # one row each
+    }

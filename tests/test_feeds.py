@@ -305,7 +305,8 @@ def test_warc_to_facts(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "a.warc.gz"), limit_records=2).count() == 1
     assert warc.read_warc_store(spark, str(tmp_path / "a.warc.gz")).count() == 3
     assert warc.read_warc(spark, str(tmp_path / "none")).first().error == "FileNotFoundError"
-    kept = survey.write(survey.facts(rows, None, now()), str(tmp_path / "facts"))
+    folder = str(tmp_path / "facts")
+    kept = survey.facts(survey.staged(rows, None, folder), now(), folder)
     assert [r.url for r in kept["feeds"].collect()] == ["http://o.org/r"]
     assert kept["links"].filter("feed_url = 'http://o.org/r'").count() == 3  # the page is in each file
     assert kept["counters"].first().max_crawl_time == "2026-04-26T12:00:00Z"
@@ -350,10 +351,10 @@ def fake(address):
     return answers[address]
 
 
-def test_opml_survey_and_probe(spark):
+def test_opml_survey_and_probe(spark, tmp_path):
     entries = spark.createDataFrame([("http://o.org/r", "http://w.example.org/d/p", "t", 0), ("http://gone.org/", None, "", 1)], schema.OPML_ENTRY)
     rows = survey.opml_responses(spark, entries, fake).persist()
-    got = survey.opml_facts(rows, now())
+    got = survey.opml_facts(rows, now(), str(tmp_path / "facts"))
     assert {(r.url, r.valid, r.error) for r in got["feeds"].collect()} == {("http://o.org/r", True, None), ("http://gone.org/", False, "ResponseTooLarge")}
     assert got["links"].count() == 4
     rows.unpersist()
