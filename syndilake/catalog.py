@@ -370,11 +370,11 @@ def duplicate_format_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.format_pairs(*_copies(spark, sf_dir))
 
 
-@query(sql("feeds", "links") + _COPIES + """ SELECT (SELECT count(DISTINCT page_url) FROM v_links) AS pages, greatest(0, 1000 - (SELECT count(DISTINCT page_url) FROM v_links)) AS zero_pages, (SELECT count(DISTINCT site) FROM v_links) AS sites,
+@query(sql("feeds", "links") + _COPIES + """ SELECT (SELECT count(DISTINCT page_url) FROM v_links) AS pages, greatest(0, 100000 - (SELECT count(DISTINCT page_url) FROM v_links)) AS zero_pages, (SELECT count(DISTINCT site) FROM v_links) AS sites,
   greatest(0, 200 - (SELECT count(DISTINCT site) FROM v_links)) AS zero_sites, (SELECT count(*) FROM multi) AS several, (SELECT count(DISTINCT page_url) FROM same) AS duplicate_pages,
   round((SELECT count(DISTINCT page_url) FROM same) / (SELECT count(*) FROM multi) * 100, 1) AS duplicate_pct""")
 def discovery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.summary(virtual.link_table(spark, sf_dir), 1000, 200, *_copies(spark, sf_dir))
+    return discovery.summary(virtual.link_table(spark, sf_dir), 100_000, 200, *_copies(spark, sf_dir))
 
 
 @query(sql("feeds", "links") + " SELECT url FROM v_feeds WHERE url NOT IN (SELECT feed_url FROM v_links)")
@@ -445,10 +445,10 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counted(routing.routed(_responses(spark, sf_dir)), F.col("route"), "route")
 
 
-@query("SELECT page_id FROM pages WHERE regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1) IN (SELECT regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1) FROM pages WHERE page_id % 2 = 0)")
+@query("SELECT page_id FROM pages WHERE regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1) IN (SELECT regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1) FROM pages WHERE url LIKE 'https:%')")
 def scope_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _responses(spark, sf_dir)
-    top = _read(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(url.site(F.col("url")).alias("site"))
+    top = _read(spark, sf_dir, "pages").filter("url LIKE 'https:%'").select(url.site(F.col("url")).alias("site"))
     return routing.scoped(rows, top).select("page_id")
 
 
@@ -553,10 +553,10 @@ def html_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.page_platforms(rows)
 
 
-@query("SELECT DISTINCT 'http://h.example.org/f/' || user_id % 40 AS feed_url FROM events WHERE event_id < 2000")
+@query("SELECT DISTINCT 'http://h.example.org/f/' || event_id % 997 AS feed_url FROM events")
 def opml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.format_string('<outline text="t" XMLURL=" http://H.example.org/f/%s/ "/>', (F.col("user_id") % 40).cast("string"))
-    events = _read(spark, sf_dir, "events").filter("event_id < 2000").select((F.col("event_id") % 7).alias("g"), one.alias("o"))
+    one = F.format_string('<outline text="t" XMLURL=" http://H.example.org/f/%s/ "/>', (F.col("event_id") % 997).cast("string"))
+    events = _read(spark, sf_dir, "events").select(F.col("user_id").alias("g"), one.alias("o"))
     files = events.groupBy(F.col("g").cast("string").alias("path")).agg(F.concat(F.lit("<opml><body>"), F.array_join(F.collect_list("o"), ""), F.lit("</body></opml>")).cast("binary").alias("content"))
     return lists.opml(files).select("feed_url")
 
