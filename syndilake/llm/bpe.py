@@ -34,9 +34,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 BREAK = re.compile(f"(?<=[^{SPACE}])(?= [^{SPACE}])")
 #: Texts are cut into pieces of about this many characters, words are remembered up to as many, and results are passed on at as many bytes.
-PIECE, MEMORY, BLOCK = 1 << 20, 6 << 20, 2 << 20
+PIECE, MEMORY, BLOCK = 1 << 20, 8 << 20, 2 << 20
 #: Units that are numbered before their words are replayed, and bytes of words that are replayed at once.
-MOST_UNITS, MOST_BYTES = 2 << 20, 1 << 20
+MOST_UNITS, MOST_BYTES = 1 << 20, 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -185,11 +185,14 @@ class Vocabulary:
         return array("i", chain.from_iterable(map(number, UNIT.findall(x)) for x in pieces(text)))
 
     def encode(self, numbered: list[array]) -> Iterator[bytes]:
-        """Packed ids of each text. Then what is remembered is dropped if it's much."""
+        """Packed ids of each text; numbers hold until forget()."""
         self.learn()
         get = self.packed.__getitem__
         for numbers in numbered:
             yield b"".join(map(get, numbers))
+
+    def forget(self) -> None:
+        """Drops what is remembered if it's much."""
         if self.held > MEMORY:
             self.units.clear()
             self.words.clear()
@@ -262,6 +265,7 @@ def encoded(batches: Iterator[pa.RecordBatch], coder: Vocabulary) -> Iterator[tu
                 yield own, out
                 own, out, size = [], [], 0
         yield own, out
+        coder.forget()
 
     ids, numbered, size = [], [], 0
     for batch in batches:

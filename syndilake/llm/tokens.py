@@ -87,7 +87,9 @@ class Tree:
 
 def count(coder: Vocabulary, numbered: list[array]) -> list[int]:
     """Tokens of each text that was numbered."""
-    return [len(x) // 4 for x in coder.encode(numbered)]
+    out = [len(x) // 4 for x in coder.encode(numbered)]
+    coder.forget()
+    return out
 
 
 def recounted(coder: Vocabulary, texts: list[str], edits: list[list[Edit]]) -> tuple[list[Tree], list[int]]:
