@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from syndilake.llm import bpe, mixing, pii, simhash, toxicity
+from syndilake.llm import bpe, mixing, pii, resemblance, toxicity
 from syndilake.llm.common import cut, scratch, table
 from syndilake.ship import ship
 
@@ -28,9 +28,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates its smallest doc_id stays, one row of it if that repeats; rows without a doc_id stay."""
+    """Of each group of near-duplicates its smallest doc_id stays, one row of it if that repeats; rows without a doc_id stay.
+
+    Near-duplicates have 0.8 or more of their five-word shingles in common, by exact comparison (Jaccard), or are linked by such.
+    """
     ship(spark)
-    found = simhash.near_duplicates(docs)
+    found = resemblance.near_duplicates(docs)
     kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
     first = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return first.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull())).select(*COLUMNS)
