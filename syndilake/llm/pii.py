@@ -6,8 +6,8 @@ of the term's own positions. A term's pointwise mutual information log(p(kind |
 kind's information -log p(kind), which it reaches when the term gives the kind away. A term near an entity is
 generalised from GENERALISE of that on and removed from REMOVE on.
 
-Only terms near one in SUPPORT entities of a kind, and near LEAST of them, count: 2 * WINDOW * SUPPORT terms a kind at
-most, so that their table has a bound and can be broadcast.
+Every term near LEAST entities of a kind counts, however large the corpus is; totals meet them in a shuffle. What is
+removed is so wherever it stands, also where no pattern finds the entity; what is generalised only near an entity.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import mapped, table
+from .common import cut, mapped, table
 from .spans import Span, masked, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MASKS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
-WINDOW, SUPPORT, LEAST, GENERALISE, REMOVE = 5, 200, 10, 0.5, 0.9
+WINDOW, LEAST, GENERALISE, REMOVE = 5, 10, 0.5, 0.9
+#: Terms that a task counts before it passes them on.
+HELD = 200_000
 #: Characters beside an entity in which its window's words are looked for.
 REACH = 40 * WINDOW
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,46 +105,58 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, str],
             counts: Counter = Counter()
             for x in batch.column(0):
                 if found := entities(text := x.as_py() or ""):
-                    counts.update((-1 - k, "") for _, _, k in found)  # entities, below the kinds
                     counts.update((k, term) for _, _, k, term in near(text, found))
             yield {"kind": [k for k, _ in counts], "term": [t for _, t in counts], "n": list(counts.values())}
 
     counts = mapped(own, beside, "kind int, term string, n long", schema).groupBy("kind", "term").agg(F.sum("n").alias("n"))
     counts = counts.persist()
-    entity_counts = {-1 - r.kind: r.n for r in counts.filter("kind < 0").collect()}
-    positions = {r.kind: r.n for r in counts.filter("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    support = F.coalesce(*(F.when(F.col("kind") == k, F.lit(max(LEAST, -(-n // SUPPORT)))) for k, n in entity_counts.items()), F.lit(1 << 62))
-    chosen = {(r.kind, r.term): r.n for r in counts.filter("kind >= 0").filter(F.col("n") >= support).collect()}
-    counts.unpersist()
-    if not chosen:
+    positions = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    chosen = counts.filter(F.col("n") >= LEAST)
+    if not chosen.limit(1).count():
+        counts.unpersist()
         return {}
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(t for _, t in chosen))
 
     def over_all(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known, counts = shared.value, Counter()
+        def rows() -> dict:
+            return {"kind": [0] * len(counts), "term": list(counts), "n": list(counts.values())}
+
+        counts: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
                 terms = _TERM.findall((x.as_py() or "").lower())
                 counts[""] += len(terms)
-                counts.update(filter(known.__contains__, terms))
-        yield {"kind": [0] * len(counts), "term": list(counts), "n": list(counts.values())}
-
-    totals = mapped(own, over_all, "kind int, term string, n long", schema).groupBy("term").agg(F.sum("n").alias("n"))
-    totals = {r.term: r.n for r in totals.collect()}
-    out = {}
-    for (kind, term), n in chosen.items():
-        p = positions[kind] / totals[""]
-        information = -np.log(p)
-        share = float(np.log(min(1.0, n / max(n, totals.get(term, 0))) / p) / information) if information > 0 else 0.0
-        if share >= GENERALISE:
-            out[kind, term] = share
+                counts.update(terms)
+                if len(counts) > HELD:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    totals = cut(mapped(own, over_all, "kind int, term string, n long", schema).groupBy("term").agg(F.sum("n").alias("total")))
+    words = totals.filter("term = ''").first().total
+    information = {k: -float(np.log(n / words)) for k, n in positions.items() if n < words}
+    if not information:
+        return {}
+    of_kind = F.coalesce(*(F.when(F.col("kind") == k, F.lit(x)) for k, x in information.items()))
+    share = F.log(F.col("n") / F.greatest("n", F.coalesce("total", F.lit(0)))) / of_kind + 1
+    found = chosen.join(totals, "term", "left").withColumn("share", share).filter(F.col("share") >= GENERALISE)
+    out = {(r.kind, r.term): r.share for r in found.select("kind", "term", "share").collect()}
+    counts.unpersist()
     return out
 
 
-def spans(text: str, terms: dict[tuple[int, str], float]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those of terms: kind 4 to generalise, 5 to remove."""
+def removed(terms: dict[tuple[int, str], float]) -> frozenset[str]:
+    """The terms that are removed wherever they stand."""
+    return frozenset(term for (_, term), share in terms.items() if share >= REMOVE)
+
+
+def spans(text: str, terms: dict[tuple[int, str], float], gone: frozenset[str]) -> tuple[list[Span], list[Span]]:
+    """Base spans, and those of terms: kind 4 to generalise, 5 to remove. gone: removed(terms)."""
     found = entities(text)
     extra: dict[tuple[int, int], float] = {}
+    if gone:
+        for m in _TERM.finditer(text):
+            if m[0].lower() in gone and not any(m.start() < y and x < m.end() for x, y, _ in found):
+                extra[m.span()] = 1.0
     if terms:
         for a, b, kind, term in near(text, found):
             if (share := terms.get((kind, term))) is not None:
@@ -157,6 +171,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty table gives no rows. Other columns are ignored, whatever their names.
     """
     terms = disclosing(docs, text_col)
+    gone = removed(terms)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType
 
@@ -165,7 +180,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             counts, base, every = [[], [], [], []], [], []
             for x in batch.column(1):
-                found, extra = spans(x.as_py() or "", terms)
+                found, extra = spans(x.as_py() or "", terms, gone)
                 for k in range(4):
                     counts[k].append(sum(s[2] == k for s in found))
                 base.append(written(found, names))
@@ -178,16 +193,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with entities masked in the texts, and revealing terms beside them generalised or removed; the rest stays."""
+    """docs with entities masked in the texts, and revealing terms generalised beside them or removed everywhere; the rest stays."""
     terms = disclosing(docs, text_col)
+    gone = removed(terms)
 
     @F.pandas_udf("string")
     def clean(column: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             if not text:
                 return text
-            found, extra = spans(text, terms)
-            return masked(text, found + extra, MASKS) if found else text
+            found, extra = spans(text, terms, gone)
+            return masked(text, found + extra, MASKS) if found or extra else text
 
         return column.map(one, na_action="ignore")
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from syndilake.llm import resemblance
+from syndilake.llm import pii, resemblance
 
 
 def sets_of(text):
@@ -74,3 +74,13 @@ def test_links_of_a_candidate_group():
     for a, b in pairs:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert [root(k) for k in range(len(sets))] == want and len(pairs) == len(sets) - len(set(want))
+
+
+def test_terms_count_whatever_the_corpus_has(spark):
+    """12 of 4,000 entities have the term beside them; it goes, also where no entity is found."""
+    rows = [(k, f"{'zubby ' if k < 12 else 'plain '}a{k}@ex.com one two three four five six seven eight nine ten eleven twelve") for k in range(4_000)]
+    frame = spark.createDataFrame([*rows, (5_000, "zubby x(at)y")], "doc_id long, text string")
+    assert pii.disclosing(frame)[0, "zubby"] > pii.REMOVE
+    got = {r.doc_id: r.text for r in pii.sanitise(frame).filter("doc_id in (0, 5000)").collect()}
+    assert "zubby" not in got[0] and "zubby" not in got[5_000]
+    assert "term:0:5" in pii.find(frame).filter("doc_id = 5000").first().spans
