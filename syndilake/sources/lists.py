@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
@@ -56,8 +58,51 @@ def top_sites(spark: SparkSession, csv: str, n: int | None = None) -> DataFrame:
     return own.filter(F.col("site") != "").groupBy("site").agg(F.min("rank").alias("rank"))
 
 
+#: Markup of faulty XML: what is skipped, or a start tag whose attributes follow.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<([^\s<>/!?=\"'&]+)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s<>/=\"']+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s<>\"']+))|[\s/]*[^\s<>/]|[\s/]+")
+_REFERENCE = re.compile(r"&(?:#([0-9]{1,7})|#x([0-9A-Fa-f]{1,6})|(amp|lt|gt|quot|apos));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_SPACES = str.maketrans("\t\n\r", "   ")
+_ENCODING = re.compile(rb"<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+
+
+def _decoded(body: bytes) -> str:
+    """By byte order mark, else by declaration, else UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name, "replace")
+    said = _ENCODING.match(body.lstrip())
+    try:
+        return body.decode(said[1].decode() if said else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def _referred(m: re.Match) -> str:
+    if m[3]:
+        return _NAMED[m[3]]
+    code = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+
+def _tags(text: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """Start tags with attributes of XML with faults: of repeated attributes the first counts, bare ampersands stay."""
+    at = 0
+    while m := _MARKUP.search(text, at):
+        at = m.end()
+        if m[1]:
+            own: dict[str, str] = {}
+            while a := _ATTRIBUTE.match(text, at):
+                at = a.end()
+                if a[1]:
+                    value = next(x for x in a.groups()[1:] if x is not None)
+                    own.setdefault(a[1], _REFERENCE.sub(_referred, value.translate(_SPACES)))
+            yield m[1], own
+
+
 def outlines(body: bytes | None) -> list[dict]:
-    """Rows of schema.OPML_ENTRY, as they come; names of attributes in any case. What follows a fault is left out."""
+    """Rows of schema.OPML_ENTRY, as they come; names of attributes in any case. A document with faults is read on behind them."""
     out: list[dict] = []
 
     def start(name: str, attributes: dict[str, str]) -> None:
@@ -70,8 +115,10 @@ def outlines(body: bytes | None) -> list[dict]:
     reader.StartElementHandler = start
     try:
         reader.Parse(body or b"", True)
-    except expat.ExpatError:
-        pass
+    except (expat.ExpatError, ValueError, LookupError):  # the latter two: encodings that expat doesn't have
+        out.clear()
+        for name, attributes in _tags(_decoded(body or b"")):
+            start(name, attributes)
     return out
 
 
