@@ -47,11 +47,17 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays in as many whole copies as the mix takes of it, rounded: 0, 1 or 2."""
+    """A document stays in as many whole copies as the mix takes of it, rounded: 0, 1 or 2; so does a row without a doc_id."""
     ship(spark)
-    taken = cut(mixing.mix(docs).filter(F.col("whole") > 0).groupBy("doc_id").agg(F.max("whole").alias("whole")))
-    copies = docs.select(*COLUMNS).join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole"))))
-    return copies.select(*COLUMNS)
+    row = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    own = docs.select(*COLUMNS).withColumn("_row", row)
+    mixed = mixing.mix(own, carried=("_row",)).groupBy("doc_id", "_row").agg(F.sum("whole").alias("whole"), F.count(F.lit(1)).alias("rows"))
+    taken = cut(mixed.filter(F.col("whole") > 0).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_taken"), "whole", "rows"))
+    met = own.join(taken, (F.col("_row") == F.col("_taken")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, "whole", "rows")
+    once = met.filter("rows = 1").select(*COLUMNS, "whole")
+    if taken.filter("rows > 1").limit(1).count():  # of rows that are alike one stands for all
+        once = once.unionByName(met.filter("rows > 1").dropDuplicates().select(*COLUMNS, "whole"))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

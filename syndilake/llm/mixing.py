@@ -66,15 +66,15 @@ def _hex(key: Column, start: int) -> Column:
     return F.conv(F.substring(key, start, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: str = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, whole.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: str = SEED, shard_words: int = SHARD_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, whole, and the columns `carried`.
 
     taken: the words that the mix takes of the document, `repeat` times its size at most; `whole`: taken in whole
     copies, rounded. Null texts have size 0; a null source is a source; a null id is an id like any other. Repeated
     rows count each. An empty table gives no rows; sources without words get target 0 and none is taken. Other columns
     are ignored, whatever their names.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size")))
     sized = cut(sized.withColumn("key", key))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
     laid = laid.withColumn("taken", taken)
     whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return laid.select("doc_id", "size", "source_size", "target", "taken", whole.alias("whole"))
+    return laid.select("doc_id", "size", "source_size", "target", "taken", whole.alias("whole"), *carried)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

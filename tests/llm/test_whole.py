@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import random
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline
-from syndilake.llm import pii, resemblance
+from syndilake.llm import mixing, pii, resemblance
 
 
 def sets_of(text):
@@ -84,3 +81,14 @@ def test_terms_count_whatever_the_corpus_has(spark):
     got = {r.doc_id: r.text for r in pii.sanitise(frame).filter("doc_id in (0, 5000)").collect()}
     assert "zubby" not in got[0] and "zubby" not in got[5_000]
     assert "term:0:5" in pii.find(frame).filter("doc_id = 5000").first().spans
+
+
+def test_mixing_stage_keeps_rows_without_ids(spark):
+    rng = random.Random(9)
+    rows = [(None if k % 2 else k, "w " * rng.randint(1, 30) + str(k), "en", None if k % 5 == 0 else f"s{k % 3}", k) for k in range(300)] + [(None, "same text here", "en", "s0", 1)] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(frame, carried=("text",)).collect():
+        want[r.doc_id, r.text] += r.whole
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix(spark, frame, "").collect())
+    assert got == +want and sum(n for (k, _), n in got.items() if k is None) > 100
