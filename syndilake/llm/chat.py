@@ -139,5 +139,24 @@ def turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def others(messages: DataFrame) -> DataFrame:
+    """A row as of `link`, with status message, for each turn that neither asks nor answers: of the system, a tool, or no role."""
+    own = messages.filter(F.coalesce(~F.col("role").isin("user", "assistant"), F.lit(True)))
+    own = own.select(F.concat_ws(":", *(F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col(c).cast("string")) for c in ("conv_id", "turn"))).alias("call_id"), "conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = own.withColumn("call_id", F.nullif("call_id", F.lit("")))
+
+    @F.pandas_udf("string")
+    def written(call_id: pd.Series, role: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([canonical({"id": i, "status": "message", "role": r, "text": t}) for i, r, t in zip(call_id, role, text)])
+
+    whole = lambda n: F.lit(n).cast("long")
+    return own.select("call_id", "conv_id", "turn", whole(0).alias("level"), F.lit("message").alias("status"), whole(0).alias("copies"), whole(0).alias("results"), F.lit("").alias("faults"), written("call_id", "role", "text").alias("line"))
+
+
+def formatted(messages: DataFrame) -> DataFrame:
+    """Every turn of conversations without tools: asked and answered ones linked, the others as they are."""
+    return link(*turns(messages), ASK).unionByName(others(messages))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(*turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), ASK)
+    return formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
 import corpus_pipeline
-from syndilake.llm import mixing, pii, resemblance
+from syndilake.llm import chat, mixing, pii, resemblance
 
 
 def sets_of(text):
@@ -92,3 +93,14 @@ def test_mixing_stage_keeps_rows_without_ids(spark):
         want[r.doc_id, r.text] += r.whole
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix(spark, frame, "").collect())
     assert got == +want and sum(n for (k, _), n in got.items() if k is None) > 100
+
+
+def test_chat_formats_every_turn(spark):
+    rows = [(1, 0, "system", "be é"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "tool", None), (1, 3, "tool", None), (1, 4, None, "who"), (None, 0, "system", ""), (2, None, "system", "n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.formatted(frame).collect()
+    assert sum(r.copies + r.results for r in got if r.status != "message") + sum(r.status == "message" for r in got) == len(rows)
+    lines = Counter((r.call_id, r.line) for r in got if r.status == "message")
+    assert lines["1:0", '{"id":"1:0","role":"system","status":"message","text":"be é"}'] == 1
+    assert {i: n for i, n in Counter(i for i, _ in lines.elements()).items()} == {"1:0": 1, "1:3": 2, "1:4": 1, None: 2}
+    assert all(json.loads(line)["text"] is None for i, line in lines if i == "1:3")
