@@ -279,80 +279,9 @@ def encoded(batches: Iterator[pa.RecordBatch], coder: Vocabulary) -> Iterator[tu
     yield from emit(ids, numbered)
 
 
-def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist()))
-
-
-def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Places without those that start where the pair of the place before ends."""
-    keep, ahead = [], -1
-    for i, j in zip(at.tolist(), after[at].tolist()):
-        if i != ahead:
-            keep.append(i)
-            ahead = j
-    return np.array(keep, at.dtype)
-
-
-def pack(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return b"".join([x.to_bytes(4, "little") for x in ids])
-
-
-@lru_cache(2)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One for each Python worker."""
-    return Vocabulary(path, pattern)
-
-
-def pieces(text: str) -> Iterator[str]:
-    """The text, cut where a unit ends."""
-    at = 0
-    while len(text) - at > 2 * PIECE and (m := BREAK.search(text, at + PIECE)):
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
-
-
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers; see unpack().
-
-    Null and empty texts have no ids. Repeated rows give a row each; ids of documents may be null. An empty table gives
-    no rows. Other columns are ignored, whatever their names. Texts of any length are read piece by piece.
-    """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        coder = vocabulary(path, pattern)
-
-        def emit(ids: list, numbered: list[array]) -> Iterator[dict]:
-            out, size = ([], []), 0
-            for doc_id, packed in zip(ids, coder.encode(numbered)):
-                out[0].append(doc_id)
-                out[1].append(packed)
-                size += len(packed)
-                if size > BLOCK:
-                    yield {"doc_id": out[0], "n_tokens": [len(x) // 4 for x in out[1]], "ids": out[1]}
-                    out, size = ([], []), 0
-            yield {"doc_id": out[0], "n_tokens": [len(x) // 4 for x in out[1]], "ids": out[1]}
-
-        ids, numbered, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids.append(doc_id.as_py())
-                numbered.append(coder.number(text.as_py() or ""))
-                size += len(numbered[-1])
-                if size > MOST_UNITS:
-                    yield from emit(ids, numbered)
-                    ids, numbered, size = [], [], 0
-        yield from emit(ids, numbered)
-
-    kind = own.schema["doc_id"].dataType
-    return mapped(own, rows, f"doc_id {kind.simpleString()}, n_tokens long, ids binary", pa.schema([("doc_id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
-
-
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of encode() with their bytes in `decoded`."""
-    own = encoded.select("doc_id", "n_tokens", "ids")
+def decode(packed: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of encode() with their bytes in `decoded`. Null ids decode to no bytes; repeated rows give a row each; an empty table none."""
+    own = packed.select("doc_id", "n_tokens", "ids")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         coder = vocabulary(path, pattern)
@@ -378,7 +307,10 @@ def unpack(ids: str = "ids"):  # noqa: ANN201
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass of Python workers."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode() and decode() in one pass of Python workers.
+
+    Nulls, empty and long texts, repeated rows, empty tables and other columns are treated as by encode().
+    """
     own, kind = _own(docs, id_col, text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
