@@ -14,15 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, mapped, table
 
-#: Vectors that the centroids are fitted to, the first by hash of their id; centroids of each half; part of the index
-#: that a query sees, larger cells counting as 1 / EVEN of the index; entries that it sees at least; entries of a block;
-#: neighbours of a query.
-SAMPLE, CENTROIDS, SEEN, EVEN, FEWEST, BLOCK, TOP = 20_000, 32, 0.55, 64, 1_000, 4_096, 5
+#: Vectors that the centroids are fitted to, the first by hash of their id; entries of a cell on average, and most
+#: centroids of each half; part of the index that a query sees, larger cells counting as 1 / EVEN of the index; entries
+#: of a block; neighbours of a query.
+SAMPLE, CELL, CENTROIDS, SEEN, EVEN, BLOCK, TOP = 20_000, 32, 128, 0.55, 64, 4_096, 5
 
 
 def usable(vector: Column) -> Column:
@@ -72,10 +74,10 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ik,jk->ij", a, b)
 
 
-def best(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, entry_ids: np.ndarray, open_: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(place of the query, place of the entry, cosine) of the k nearest open entries that aren't the query itself."""
+def best(queries: np.ndarray, entries: np.ndarray, entry_ids: np.ndarray, open_: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    """(place of the query, place of the entry, cosine) of the k nearest open entries."""
     norms = np.sqrt(np.einsum("ik,ik->i", queries, queries))[:, None] * np.sqrt(np.einsum("ik,ik->i", entries, entries))
-    scores = np.where(open_ & (ids[:, None] != entry_ids), dots(queries, entries) / norms, -np.inf)
+    scores = np.where(open_, dots(queries, entries) / norms, -np.inf)
     for q, row in enumerate(scores):
         least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
         near = np.flatnonzero((row >= least) & (row > -np.inf))
@@ -83,92 +85,127 @@ def best(queries: np.ndarray, ids: np.ndarray, entries: np.ndarray, entry_ids: n
             yield q, int(e), float(row[e])
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, seen: float = SEEN, n_centroids: int = CENTROIDS, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of each query's nearest entries; seen=1 gives the exact ones.
+def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, seen: float = SEEN, n_centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of each query row's nearest entries; seen=1 gives the exact ones.
 
-    An entry with the query's id is not its neighbour. Ties go to the smaller id. Vectors that are null, zero, or hold
-    null or non-finite components take no part, nor do rows without an id or with another length than most vectors of
-    the index. Queries whose id repeats share their ranks. An empty index or no queries give no rows.
+    A query is taken for one row of the index, the one with its id and vector, which is not its neighbour; a second row
+    like it is. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no
+    part, nor do rows without an id or with another length than most vectors of the index. Query rows that repeat have
+    their neighbours each. An empty index or no queries give no rows. Other columns are ignored, whatever their names.
+    n_centroids of each half: by default as many as make cells of CELL entries, CENTROIDS at most. Ids may be any type
+    that can be ordered.
     """
-    packed = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")]
+    packed = [F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")]
     entries = index.select(*packed).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     asked = queries.select(*packed).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    kind = entries.schema["vec_id"].dataType
     size = F.size("vector")
     common = entries.groupBy(size.alias("width")).count().orderBy(F.desc("count"), "width").first()
     spark = index.sparkSession
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], f"query_id {kind.simpleString()}, rank int, vec_id {kind.simpleString()}, score double")
     width, n = common["width"], common["count"]
     entries, asked = entries.filter(size == width), asked.filter(size == width)
     half = (width + 1) // 2
+    k = n_centroids or max(1, min(CENTROIDS, round((n / CELL) ** 0.5)))
     fitted = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
     points = np.stack(fitted.to_numpy()).astype(np.float64)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    first = centroids(points[:, :half], n_centroids)
-    second = centroids(points[:, half:], n_centroids) if half < width else np.zeros((1, 0))
+    first = centroids(points[:, :half], k)
+    second = centroids(points[:, half:], k) if half < width else np.zeros((1, 0))
+    # rows are told apart by id and vector; twins share a mark
+    mark = F.xxhash64("vec_id", "vector")
+    entries = entries.select("vec_id", mark.alias("mark"), "vector")
+    asked = asked.groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies")).select("vec_id", mark.alias("mark"), "copies", "vector")
+
+    def unit_halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        return raw, distances(unit[:, :half], first), distances(unit[:, half:], second)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            yield {"vec_id": batch.column(0), "vector": [x.tobytes() for x in np.ascontiguousarray(raw)], "a": distances(unit[:, :half], first).argmin(1).astype(np.int32), "b": distances(unit[:, half:], second).argmin(1).astype(np.int32)}
+            raw, to_first, to_second = unit_halves(batch.column(2))
+            yield {"vec_id": batch.column(0), "mark": batch.column(1), "vector": [x.tobytes() for x in np.ascontiguousarray(raw)], "a": to_first.argmin(1).astype(np.int32), "b": to_second.argmin(1).astype(np.int32)}
 
-    types = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
-    cells = cut(mapped(entries, placed, "vec_id long, vector binary, a int, b int", types))
+    own = to_arrow_type(kind)
+    types = pa.schema([("vec_id", own), ("mark", pa.int64()), ("vector", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
+    cells = cut(mapped(entries, placed, f"vec_id {kind.simpleString()}, mark long, vector binary, a int, b int", types))
     held = np.zeros((len(first), len(second)))
-    for r in cells.groupBy("a", "b").count().collect():  # centroids squared at most
+    for r in cells.groupBy("a", "b").count().collect():  # CENTROIDS squared at most
         held[r.a, r.b] = r["count"]
     blocks = np.maximum(1, -(-held.sum(1) // BLOCK)).astype(int).tolist()
     counted = np.minimum(held, n // EVEN + 1)
-    enough = max(counted.sum() * seen, FEWEST) if seen < 1 else np.inf
+    enough = counted.sum() * seen if seen < 1 else np.inf
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            to = distances(unit[:, :half], first), distances(unit[:, half:], second)
-            for q, vec_id in enumerate(batch.column(0).to_pylist()):
-                opened: dict[int, int] = {}
-                for a, b in walk(to[0][q], to[1][q], counted, enough):
-                    opened[a] = opened.get(a, 0) | 1 << b
-                rows = [(a, block, mask) for a, mask in opened.items() for block in range(blocks[a])]
-                yield {"a": [r[0] for r in rows], "block": [r[1] for r in rows], "kind": [1] * len(rows), "vec_id": [vec_id] * len(rows), "b": [r[2] for r in rows], "vector": [raw[q].tobytes()] * len(rows)}
-
-    columns = "a int, block int, kind int, vec_id long, b long, vector binary"
-    types = pa.schema([("a", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("vec_id", pa.int64()), ("b", pa.int64()), ("vector", pa.binary())])
+            raw, to_first, to_second = unit_halves(batch.column(3))
+            for q in range(batch.num_rows):
+                opened: dict[int, np.ndarray] = {}
+                for a, b in walk(to_first[q], to_second[q], counted, enough):
+                    opened.setdefault(a, np.zeros(len(second), bool))[b] = True
+                rows = [(a, block, np.packbits(mask).tobytes()) for a, mask in opened.items() for block in range(blocks[a])]
+                same = lambda x: [x] * len(rows)  # noqa: E731, B023
+                yield {"a": [r[0] for r in rows], "block": [r[1] for r in rows], "kind": same(1), "vec_id": pa.array(same(batch.column(0)[q].as_py()), own), "mark": same(batch.column(1)[q].as_py()), "copies": same(batch.column(2)[q].as_py()), "b": same(0), "cells": [r[2] for r in rows], "vector": same(raw[q].tobytes())}
+
+    columns = f"a int, block int, kind int, vec_id {kind.simpleString()}, mark long, copies long, b int, cells binary, vector binary"
+    types = pa.schema([("a", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("vec_id", own), ("mark", pa.int64()), ("copies", pa.int64()), ("b", pa.int32()), ("cells", pa.binary()), ("vector", pa.binary())])
     shares = F.element_at(F.array(*map(F.lit, blocks)), F.col("a") + 1)
-    dealt = cells.select("a", F.pmod(F.xxhash64("vec_id"), shares).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", F.col("b").cast("long"), "vector")
+    dealt = cells.select("a", F.pmod(F.xxhash64("vec_id"), shares).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "mark", F.lit(0).cast("long").alias("copies"), "b", F.lit(None).cast("binary").alias("cells"), "vector")
     both = dealt.unionByName(mapped(asked, sent, columns, types)).repartition("a", "block").sortWithinPartitions("a", "block", "kind")
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, own, ids, cell = None, np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, parts = None, []
+        entries = ids = marks = cell = order = None
+
+        def gathered() -> None:
+            nonlocal entries, ids, marks, cell, order, parts
+            if parts:
+                entries = np.concatenate([p[0] for p in parts])
+                ids, marks, cell = pa.concat_arrays([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+                places = pa.compute.sort_indices(ids).to_numpy()
+                order = np.empty(len(places), np.int64)
+                order[places] = np.arange(len(places))
+                parts = []
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, block, kind, vec_id, b = (batch.column(i).to_numpy() for i in range(5))
-            vectors = matrix(batch.column(5), width)
-            changes = np.flatnonzero((np.diff(a) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            a, block, sort = (batch.column(i).to_numpy() for i in range(3))
+            vectors = matrix(batch.column(8), width)
+            changes = np.flatnonzero((np.diff(a) != 0) | (np.diff(block) != 0) | (np.diff(sort) != 0)) + 1
             for x, y in zip([0, *changes.tolist()], [*changes.tolist(), len(a)]):
                 if (a[x], block[x]) != key:
-                    key, own, ids, cell = (a[x], block[x]), np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if kind[x] == 0:
-                    own, ids, cell = np.concatenate((own, vectors[x:y])), np.concatenate((ids, vec_id[x:y])), np.concatenate((cell, b[x:y]))
+                    key, parts, entries = (a[x], block[x]), [], None
+                if sort[x] == 0:
+                    parts.append((vectors[x:y], batch.column(3).slice(x, y - x), batch.column(4).slice(x, y - x).to_numpy(), batch.column(6).slice(x, y - x).to_numpy()))
                     continue
-                for s in range(x, y, 256) if len(ids) else ():
-                    some = slice(s, min(y, s + 256))
-                    open_ = (b[some, None] >> cell) & 1 > 0
-                    found = list(best(vectors[some], vec_id[some], own, ids, open_, top))
-                    yield {"query_id": [int(vec_id[s + q]) for q, _, _ in found], "vec_id": [int(ids[e]) for _, e, _ in found], "score": [v for *_, v in found]}
-
-    types = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    found = mapped(both, ranked, "query_id long, vec_id long, score double", types)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                gathered()
+                for s in range(x, y, 256) if entries is not None else ():
+                    e = min(y, s + 256)
+                    masks = np.unpackbits(np.frombuffer(b"".join(batch.column(7).slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1), axis=1)
+                    found = list(best(vectors[s:e], entries, order, masks[:, cell] > 0, top + 1))
+                    q, at = [s + i for i, _, _ in found], [i for _, i, _ in found]
+                    asker, its = batch.column(3).take(pa.array(q, pa.int64())), ids.take(pa.array(at, pa.int64()))
+                    mine = batch.column(4).to_numpy()[q] == marks[at] if q else np.zeros(0, bool)
+                    yield {"query_id": asker, "mark": batch.column(4).take(pa.array(q, pa.int64())), "copies": batch.column(5).take(pa.array(q, pa.int64())), "vec_id": its, "twin": mine, "score": [v for *_, v in found]}
+
+    types = pa.schema([("query_id", own), ("mark", pa.int64()), ("copies", pa.int64()), ("vec_id", own), ("twin", pa.bool_()), ("score", pa.float64())])
+    found = mapped(both, ranked, f"query_id {kind.simpleString()}, mark long, copies long, vec_id {kind.simpleString()}, twin boolean, score double", types)
+    each = Window.partitionBy("query_id", "mark")
+    order = each.orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top + 1)
+    # one of the rows like the query is the query itself; without one among the nearest, the last of them is one too many
+    itself = F.min(F.when(F.col("twin"), F.col("place"))).over(each)
+    found = found.withColumn("itself", F.coalesce(itself, F.lit(top + 1))).filter(F.col("place") != F.col("itself"))
+    rank = (F.col("place") - (F.col("place") > F.col("itself")).cast("int")).cast("int")
+    found = found.select("query_id", rank.alias("rank"), "vec_id", "score", "copies")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,5 +17,6 @@ QUERIES = {
     "op10_neighbours": neighbours.query,
 }
 SQL = {
+    "op8_chat": chat.SQL,
     "op9_mixing": mixing.SQL,
 }

@@ -324,11 +324,11 @@ def test_chat_links_orders_and_validates(spark):
     b = spark.createDataFrame(results, "call_id string, conv_id long, turn long, text string")
     rows = chat.link(a, b, schemas).collect()
     got = {(r.call_id, r.status): r for r in rows}
-    assert len(rows) == 8 + 1
+    assert len(rows) == 8 + 2
     assert [got[k].level for k in (("c1", "linked"), ("c2", "unanswered"), ("c3", "linked"))] == [0, 1, 2]
     assert got["x1", "unanswered"].level == -1 and got["x2", "unanswered"].level == -1
     assert got["z", "unanswered"].level == 0
-    assert got["c1", "linked"].results == 2 and json.loads(got["c1", "linked"].line)["result"] == "one"
+    assert got["c1", "linked"].results == 1 and got["c1", "repeated"].results == 1 and json.loads(got["c1", "linked"].line)["result"] == "one"
     assert got["c3", "linked"].copies == 2 and got["c3", "linked"].faults == "not JSON"
     assert got["c2", "unanswered"].faults == "$.a: missing; $.b: unknown"
     assert got["x2", "unanswered"].faults == "$.a: bounds"
@@ -428,10 +428,29 @@ def test_neighbours_exactly_and_nearly(spark):
     assert sum(near[q, i] for q in got for i in exact(q)) >= 0.9 * 5 * len(got)
     assert neighbours.search(frame.limit(0), asked).count() == 0
     assert neighbours.search(frame, asked.limit(0)).count() == 0
+    assert sum(near.values()) == 5 * len(got)
+    twice = frame.union(frame.filter("vec_id in (50, 51)")).union(frame.filter("vec_id = 50"))  # three rows of 50, two of 51
+    found = Counter((r.query_id, r["rank"], r.vec_id) for r in neighbours.search(twice, twice.filter("vec_id = 50"), seen=1).collect())
+    want = [50, 50, *[x for i in exact(50) for x in [i] * (2 if i == 51 else 1)]][:5]
+    assert found == Counter({(50, k + 1, i): 3 for k, i in enumerate(want)})
+    named = frame.withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    assert Counter(r.query_id for r in neighbours.search(named, named.filter("vec_id in ('v0', 'v50')")).collect()) == {"v0": 5, "v50": 5}
     few = neighbours.search(frame.filter("vec_id < 3"), frame.filter("vec_id = 0")).collect()
     assert len(few) == 2
 
 
+def test_pruned_search_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4_000, 32))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit[::40] @ unit.T
+    scores[np.arange(100), np.arange(0, 4_000, 40)] = -9
+    want = {(40 * q, int(i)) for q, row in enumerate(scores) for i in np.argsort(-row)[:5]}
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(frame, frame.filter("vec_id % 40 = 0")).collect()}
+    assert len(got) == 500 and 0.9 * len(want) <= len(got & want) < len(want)  # not all: cells were left out
+
+
 def test_walk_goes_by_summed_distance():
     rng = np.random.default_rng(0)
     a, b, held = rng.random(6), rng.random(5), rng.integers(0, 4, (6, 5)).astype(float)
