@@ -13,6 +13,7 @@ removed is so wherever it stands, also where no pattern finds the entity; what i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,15 +25,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, mapped, table
-from .spans import Span, masked, written
+from .spans import Covered, Span, masked, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MASKS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
+#: What stands in for each kind of span; 4 and more generalise a term to the kind that it reveals, the last removes it.
+MASKS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[EMAIL TERM]", "[IP TERM]", "[CARD TERM]", "[PHONE TERM]", ""]
+GONE = len(MASKS) - 1
 WINDOW, LEAST, GENERALISE, REMOVE = 5, 10, 0.5, 0.9
 #: Terms that a task counts before it passes them on.
 HELD = 200_000
-#: Characters beside an entity in which its window's words are looked for.
-REACH = 40 * WINDOW
+#: Terms that the driver and the tasks hold; more stay in a table that texts are joined with.
+TERMS = 200_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -83,38 +86,42 @@ def entities(text: str) -> list[Span]:
 
 
 def near(text: str, found: list[Span]) -> set[tuple[int, int, int, str]]:
-    """(start, end, kind, term) of the words at most WINDOW words, and REACH characters, from an entity of the kind."""
+    """(start, end, kind, term) of the words among the WINDOW before and the WINDOW after an entity of the kind; words that entities cover aren't terms."""
+    words = [m.span() for m in _TERM.finditer(text)] if found else []
+    starts, ends, covered = [a for a, _ in words], [b for _, b in words], Covered(found)
     out = set()
     for a, b, kind in found:
-        left, right = max(0, a - REACH), min(len(text), b + REACH)
-        before = [m for m in _TERM.finditer(text, left, a) if m.start() > left or not left]
-        after = [m for m in _TERM.finditer(text, b, right) if m.end() < right or right == len(text)]
-        for m in before[-WINDOW:] + after[:WINDOW]:
-            if not any(m.start() < y and x < m.end() for x, y, _ in found):
-                out.add((m.start(), m.end(), kind, m[0].lower()))
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        for x, y in words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]:
+            if not covered.meets(x, y):
+                out.add((x, y, kind, text[x:y].lower()))
     return out
 
 
-def disclosing(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, str], float]:
-    """(kind, term) -> its share of the kind's information, for the terms from GENERALISE on. Two passes over all texts."""
+def shares(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
+    """(kind, term, share): share of the kind's information, for the terms from GENERALISE on; None without any. Two passes over all texts."""
     own = docs.select(F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("n", pa.int64())])
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        def rows() -> dict:
+            return {"kind": [k for k, _ in counts], "term": [t for _, t in counts], "n": list(counts.values())}
+
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for x in batch.column(0):
                 if found := entities(text := x.as_py() or ""):
                     counts.update((k, term) for _, _, k, term in near(text, found))
-            yield {"kind": [k for k, _ in counts], "term": [t for _, t in counts], "n": list(counts.values())}
+                if len(counts) > HELD:
+                    yield rows()
+                    counts.clear()
+        yield rows()
 
-    counts = mapped(own, beside, "kind int, term string, n long", schema).groupBy("kind", "term").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = cut(mapped(own, beside, "kind int, term string, n long", schema).groupBy("kind", "term").agg(F.sum("n").alias("n")))
     positions = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     chosen = counts.filter(F.col("n") >= LEAST)
     if not chosen.limit(1).count():
-        counts.unpersist()
-        return {}
+        return None
 
     def over_all(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def rows() -> dict:
@@ -135,33 +142,75 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, str],
     words = totals.filter("term = ''").first().total
     information = {k: -float(np.log(n / words)) for k, n in positions.items() if n < words}
     if not information:
-        return {}
+        return None
     of_kind = F.coalesce(*(F.when(F.col("kind") == k, F.lit(x)) for k, x in information.items()))
     share = F.log(F.col("n") / F.greatest("n", F.coalesce("total", F.lit(0)))) / of_kind + 1
-    found = chosen.join(totals, "term", "left").withColumn("share", share).filter(F.col("share") >= GENERALISE)
-    out = {(r.kind, r.term): r.share for r in found.select("kind", "term", "share").collect()}
-    counts.unpersist()
-    return out
+    found = cut(chosen.join(totals, "term", "left").select("kind", "term", share.alias("share")).filter(F.col("share") >= GENERALISE))
+    return found if found.limit(1).count() else None
+
+
+Terms = dict[tuple[int, str], float]
+
 
+def disclosing(docs: DataFrame, text_col: str = "text") -> Terms:
+    """shares() as a dictionary, for small tables."""
+    found = shares(docs, text_col)
+    return {} if found is None else {(r.kind, r.term): r.share for r in found.collect()}
 
-def removed(terms: dict[tuple[int, str], float]) -> frozenset[str]:
+
+def removed(terms: Terms) -> frozenset[str]:
     """The terms that are removed wherever they stand."""
     return frozenset(term for (_, term), share in terms.items() if share >= REMOVE)
 
 
-def spans(text: str, terms: dict[tuple[int, str], float], gone: frozenset[str]) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those of terms: kind 4 to generalise, 5 to remove. gone: removed(terms)."""
+def spans(text: str, terms: Terms, gone: frozenset[str]) -> tuple[list[Span], list[Span]]:
+    """Base spans, and those of terms: GONE to remove, 4 + kind to generalise to it. gone: removed(terms)."""
     found = entities(text)
-    extra: dict[tuple[int, int], float] = {}
+    extra: dict[tuple[int, int], tuple[float, int]] = {}
     if gone:
+        covered = Covered(found)
         for m in _TERM.finditer(text):
-            if m[0].lower() in gone and not any(m.start() < y and x < m.end() for x, y, _ in found):
-                extra[m.span()] = 1.0
+            if m[0].lower() in gone and not covered.meets(*m.span()):
+                extra[m.span()] = 1.0, 0
     if terms:
         for a, b, kind, term in near(text, found):
             if (share := terms.get((kind, term))) is not None:
-                extra[a, b] = max(share, extra.get((a, b), 0.0))
-    return found, [(a, b, 5 if share >= REMOVE else 4) for (a, b), share in extra.items()]
+                extra[a, b] = max((share, -kind), extra.get((a, b), (0.0, 0)))
+    return found, [(a, b, GONE if share >= REMOVE else 4 - kind) for (a, b), (share, kind) in extra.items()]
+
+
+def _with_terms(docs: DataFrame, text_col: str, name: str) -> tuple[DataFrame, Terms | None]:
+    """docs with the column `name`, and the corpus's terms.
+
+    Up to TERMS of them are a dictionary, and the column is null. More stay distributed: then there is no dictionary, and
+    the column has what each text needs of it, by a join of the texts' distinct words with the terms.
+    """
+    kind = "array<struct<kind:int,term:string,share:double>>"
+    found = shares(docs, text_col)
+    if found is None or found.limit(TERMS + 1).count() <= TERMS:
+        terms = {} if found is None else {(r.kind, r.term): r.share for r in found.collect()}
+        return docs.withColumn(name, F.lit(None).cast(kind)), terms
+    text = F.col(text_col).cast("string")
+    own = docs.withColumn(f"{name}_text", F.md5(text))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for key, x in zip(batch.column(0), batch.column(1)):
+                some = sorted(set(_TERM.findall((x.as_py() or "").lower())))
+                yield {"key": [key.as_py()] * len(some), "term": some}
+
+    each = mapped(own.select(F.col(f"{name}_text").alias("key"), text.alias("text")).filter("text IS NOT NULL"), words, "key string, term string", pa.schema([("key", pa.string()), ("term", pa.string())]))
+    needed = each.distinct().join(found, "term").groupBy("key").agg(F.collect_list(F.struct("kind", "term", "share")).alias("_needed"))
+    needed = needed.select(F.col("key").alias(f"{name}_key"), F.col("_needed").cast(kind).alias(name))
+    return own.join(needed, F.col(f"{name}_text") == F.col(f"{name}_key"), "left").drop(f"{name}_key", f"{name}_text"), None
+
+
+def _own(needed: list[dict] | None, terms: Terms | None, gone: frozenset[str]) -> tuple[Terms, frozenset[str]]:
+    """The dictionary and its removed terms, or those that a row brings along."""
+    if terms is not None:
+        return terms, gone
+    own = {(r["kind"], r["term"]): r["share"] for r in (needed if needed is not None else ())}
+    return own, removed(own)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,17 +219,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have no spans. Repeated rows and ids give a row each and count each; ids may be null. An
     empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    terms = disclosing(docs, text_col)
-    gone = removed(terms)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType
+    own, terms = _with_terms(own, "text", "_terms")
+    gone = removed(terms or {})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = (*KINDS, KINDS[4])
+        names = (*KINDS, *[KINDS[4]] * 4)
         for batch in batches:
             counts, base, every = [[], [], [], []], [], []
-            for x in batch.column(1):
-                found, extra = spans(x.as_py() or "", terms, gone)
+            for x, needed in zip(batch.column(1), batch.column(2)):
+                found, extra = spans(x.as_py() or "", *_own(needed.as_py(), terms, gone))
                 for k in range(4):
                     counts[k].append(sum(s[2] == k for s in found))
                 base.append(written(found, names))
@@ -189,25 +238,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     counted = ", ".join(f"n_{k} long" for k in KINDS[:4])
     types = pa.schema([("doc_id", to_arrow_type(kind)), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base", pa.string()), ("spans", pa.string())])
-    return mapped(own, rows, f"doc_id {kind.simpleString()}, {counted}, base string, spans string", types)
+    return mapped(own.select("doc_id", "text", "_terms"), rows, f"doc_id {kind.simpleString()}, {counted}, base string, spans string", types)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with entities masked in the texts, and revealing terms generalised beside them or removed everywhere; the rest stays."""
-    terms = disclosing(docs, text_col)
-    gone = removed(terms)
+    """docs with entities masked in the texts, and revealing terms generalised beside them or removed everywhere; the rest stays.
+
+    Null texts stay null, empty ones empty; repeated rows and ids stay as they are and count each; an empty table gives
+    no rows. Other columns stay, whatever their names but those that begin with _terms.
+    """
+    own, terms = _with_terms(docs, text_col, "_terms")
+    gone = removed(terms or {})
 
     @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
+    def clean(column: pd.Series, needed: pd.Series) -> pd.Series:
+        def one(text: str | None, row: list[dict] | None) -> str | None:
             if not text:
                 return text
-            found, extra = spans(text, terms, gone)
+            found, extra = spans(text, *_own(row, terms, gone))
             return masked(text, found + extra, MASKS) if found or extra else text
 
-        return column.map(one, na_action="ignore")
+        return pd.Series(map(one, column, needed), dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    return own.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col("_terms"))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

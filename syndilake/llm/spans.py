@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 Span = tuple[int, int, int]
 
 
@@ -22,3 +24,21 @@ def masked(text: str, spans: list[Span], names: list[str]) -> str:
         out += [text[at:a], names[k]]
         end = b
     return "".join(out) + text[end if end >= 0 else 0 :]
+
+
+class Covered:
+    """Whether a stretch of text meets any of some spans, in the time of a binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a

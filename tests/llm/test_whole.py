@@ -104,3 +104,27 @@ def test_chat_formats_every_turn(spark):
     assert lines["1:0", '{"id":"1:0","role":"system","status":"message","text":"be é"}'] == 1
     assert {i: n for i, n in Counter(i for i, _ in lines.elements()).items()} == {"1:0": 1, "1:3": 2, "1:4": 1, None: 2}
     assert all(json.loads(line)["text"] is None for i, line in lines if i == "1:3")
+
+
+def test_many_entities_take_linear_time():
+    import time
+
+    text = " ".join(f"word{k} u{k}@mail.example.com" for k in range(20_000))
+    began = time.perf_counter()
+    found, extra = pii.spans(text, {(0, "word"): 0.95}, frozenset({"word"}))
+    assert time.perf_counter() - began < 2
+    assert len(found) == 20_000 and len(extra) == 20_000
+
+
+def test_terms_in_a_table(spark, monkeypatch):
+    """More terms than tasks hold: the same results by a join."""
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(k % 250, f"{some()} reach zubby at a{k}@ex.com {some()}" if k % 3 == 0 else f"{some()} zubby") for k in range(300)] + [(None, None), (7, ""), (None, "zubby a@b.cd")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = [Counter(map(tuple, f(frame).collect())) for f in (pii.find, pii.sanitise)]
+    assert any("term" in r[6] for r in before[0])
+    monkeypatch.setattr(pii, "TERMS", 0)
+    assert [Counter(map(tuple, f(frame).collect())) for f in (pii.find, pii.sanitise)] == before
+    assert pii.sanitise(frame.limit(0)).count() == 0
