@@ -7,7 +7,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from syndilake.llm import chat, mixing, pii, resemblance
+from syndilake.llm import chat, mixing, pii, resemblance, secrets
 
 
 def sets_of(text):
@@ -128,3 +128,36 @@ def test_terms_in_a_table(spark, monkeypatch):
     monkeypatch.setattr(pii, "TERMS", 0)
     assert [Counter(map(tuple, f(frame).collect())) for f in (pii.find, pii.sanitise)] == before
     assert pii.sanitise(frame.limit(0)).count() == 0
+
+
+def test_candidates_are_all_but_plain_words():
+    text = "key: ghpABCdefGHI plain-words, International_thing a1b2c3d4 2024-01-15 Aaaaaaaaaaaaaaaaaaaaaa x/y.z short1 "
+    assert [text[a:b] for a, b in secrets.candidates(text)] == ["ghpABCdefGHI", "a1b2c3d4", "2024-01-15", "Aaaaaaaaaaaaaaaaaaaaaa"]
+    for n in (8, 40, 41, 60, 61, 137):
+        own = "".join(chr(97 + k % 26) if k % 2 else "7" for k in range(n))
+        whole = f"see {own} there"
+        seen = "".join(w[secrets.BEFORE : secrets.BEFORE + secrets.INSIDE // 2] for w in secrets.windows(whole, 4, 4 + n))
+        assert own.startswith(seen.rstrip("\0")) and len(list(secrets.windows(whole, 4, 4 + n))) == max(1, -(-(n - 20) // 20))
+
+
+def test_network_sees_the_middle_of_long_runs(spark):
+    """A secret in the middle of a run of plain parts is found as the likeliest window says."""
+    rng = random.Random(3)
+    net = secrets.train(spark.createDataFrame([], "doc_id long, text string"))
+    key = "".join(rng.choice("0123456789abcdefABCDEFGHIJKLmnopqrstuv") for _ in range(40))
+    rows = [(1, f"secret = http/{'path/to/' * 8}{key}{'/or/else' * 8} end"), (2, f"see http/{'path/to/' * 16}1 end")]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    windows = list(secrets.windows(rows[0][1], *secrets.candidates(rows[0][1])[0]))
+    p = net.probability(secrets.encoded(windows))
+    assert ("cnn" in got[1]) == bool((p >= net.threshold).any() and not secrets.patterned(rows[0][1]))
+    assert "".join(windows).count(key[:20]) >= 1
+
+
+def test_many_base_spans_take_linear_time():
+    import time
+
+    text = " ".join(f"token = abcdef{k:06d} q{k}w8e7r6t5" for k in range(20_000))
+    began = time.perf_counter()
+    found = secrets.Covered(secrets.patterned(text))
+    assert sum(not found.meets(a, b) for a, b in secrets.candidates(text)) == 20_000
+    assert time.perf_counter() - began < 2
