@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = w0 + sum_i w_i + sum_{i<j} <v_i, v_j> over a text's distinct terms: pairs that mean more together than apart,
-such as an insult with a group's name, get a weight of their own. Terms are hashed to 32 bits; those that tell the
-classes apart in the sample get parameters, the rest has none. The model is fitted on a bounded sample of labelled
-rows; scoring reads whole texts.
+such as an insult with a group's name, get a weight of their own. Terms are hashed to SPACE slots; a slot has a weight
+and factors if it tells the classes apart in the sample alone, or with another slot better than either alone, whatever
+the two say apart. The model is fitted on a bounded sample of labelled rows; scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ from .common import mapped, table, texts
 
 #: Labelled rows to fit on at most, the first by hash of their id; a quarter of them sets the threshold.
 SAMPLE = 12_000
-#: Terms with parameters, factors of each, and the score that predicts 1.
-TERMS, FACTORS, THRESHOLD = 4_096, 4, 0.3
-#: Smallest number of sampled texts, and smallest z score, with which a term gets parameters.
-LEAST, LEAST_Z = 3, 3.0
+#: Slots that terms are hashed to, those that get parameters at most, factors of each, and the score that predicts 1.
+SPACE, TERMS, FACTORS, THRESHOLD = 1 << 20, 8_192, 4, 0.3
+#: Smallest number of sampled texts, and smallest z score, with which a slot gets parameters for itself, and for a pair.
+LEAST, LEAST_Z, PAIR_LEAST, PAIR_Z = 3, 3.0, 10, 7.0
+#: Rows of a step, passes over the rows, step size, and pull of weights and factors towards zero.
+STEP, EPOCHS, RATE, PULL = 8, 24, 0.05, 1e-3
 _TERM = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str, known: dict[str, int]) -> set[int]:
-    """Hashes of the text's distinct terms; known: a memory of them, emptied when it's full."""
+    """Slots of the text's distinct terms; known: a memory of them, emptied when it's full."""
     out = set()
     for term in set(_TERM.findall(text.lower())):
         if (h := known.get(term)) is None:
             if len(known) > 200_000:
                 known.clear()
-            h = known[term] = zlib.crc32(term.encode("utf-8", "surrogatepass"))
+            h = known[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % SPACE
         out.add(h)
     return out
 
@@ -49,7 +51,8 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    slots: dict[int, int]
+    #: Slots with parameters, ascending.
+    slots: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
@@ -57,62 +60,105 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
-    def raw(self, places: list[list[int]]) -> np.ndarray:
+    def places(self, found: set[int] | np.ndarray) -> np.ndarray:
+        own = np.sort(np.fromiter(found, np.int64, len(found)))
+        at = np.searchsorted(self.slots, own)
+        near = np.minimum(at, max(len(self.slots) - 1, 0))
+        return at[(at < len(self.slots)) & (self.slots[near] == own)] if len(self.slots) else at[:0]
+
+    def raw(self, places: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(places), self.w0)
         for k, x in enumerate(places):
-            if x:
+            if len(x):
                 v = self.v[x]
                 out[k] += self.w[x].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum())
         return out
 
     def score(self, found: list[set[int]]) -> np.ndarray:
-        places = [sorted(self.slots[h] for h in x if h in self.slots) for x in found]
-        return 1 / (1 + np.exp(-np.clip(self.raw(places) * self.scale + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.raw([self.places(x) for x in found]) * self.scale + self.shift, -30, 30)))
+
 
+def telling(found: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarray:
+    """The slots that get parameters, ascending: the `most` with the largest z score, their own or that of a pair.
 
-def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 30, rate: float = 0.05) -> Model:
+    A slot's own score measures its share of toxic texts against all texts' share; a pair's (the signed root of the
+    likelihood ratio, as there are many pairs) measures the share of the texts with both against that of whichever of the
+    two comes nearer to it, so that a pair counts for what it says beyond its slots. Counts of pairs are taken slot by
+    slot, over the texts that have it.
+    """
+    every = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
+    slots, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    hit, p = np.bincount(at, y[rows], len(slots)), float(y.mean())
+    z = np.abs(hit - count * p) / np.sqrt(count * p * (1 - p))
+    z[(count < LEAST) | (z < LEAST_Z)] = 0
+    able = np.flatnonzero(count >= PAIR_LEAST)
+    number = np.full(len(slots), -1)
+    number[able] = np.arange(len(able))
+    kept = number[at] >= 0
+    at, rows = number[at[kept]], rows[kept]
+    starts = np.searchsorted(rows, np.arange(len(found) + 1))
+    order = np.argsort(at, kind="stable")
+    having = np.split(rows[order], np.cumsum(np.bincount(at, minlength=len(able)))[:-1]) if len(able) else []
+    share = (hit[able] + p) / (count[able] + 1)  # smoothed
+    pair_z = np.zeros(len(able))
+    for i, own in enumerate(having):
+        there = np.concatenate([at[starts[r] : starts[r + 1]] for r in own])
+        both = np.bincount(there, minlength=len(able))
+        both[i] = 0
+        js = np.flatnonzero(both >= PAIR_LEAST)
+        if not len(js):
+            continue
+        n = both[js]
+        toxic_rows = own[y[own] > 0]
+        t = np.bincount(np.concatenate([at[starts[r] : starts[r + 1]] for r in toxic_rows]), minlength=len(able))[js] if len(toxic_rows) else np.zeros(len(js))
+        high, low = np.maximum(np.maximum(share[i], share[js]), p), np.minimum(np.minimum(share[i], share[js]), p)
+        q = np.clip(np.where(t > n * high, high, np.where(t < n * low, low, t / n)), 1e-9, 1 - 1e-9)
+        own_z = np.sqrt(np.maximum(0, 2 * (t * np.log(np.maximum(t, 1e-9) / (n * q)) + (n - t) * np.log(np.maximum(n - t, 1e-9) / (n * (1 - q))))))
+        pair_z[i] = max(pair_z[i], own_z.max())
+        np.maximum.at(pair_z, js, own_z)
+    pair_z[pair_z < PAIR_Z] = 0
+    z[able] = np.maximum(z[able], pair_z)
+    chosen = np.flatnonzero(z > 0)
+    return np.sort(slots[chosen[np.argsort(-z[chosen], kind="stable")][:most]]).astype(np.int64)
+
+
+def fit(found: list[np.ndarray], labels: np.ndarray, seed: int = 7, most: int = TERMS) -> Model:
     """Fits by Adagrad on three quarters of the rows; the rest calibrates. Without both classes the score is constant."""
     logit = lambda p: float(np.log(p / (1 - p)))
     y = np.asarray(labels, np.float64)
     n, positive = len(y), float(np.sum(y))
     if n == 0 or positive in (0, n):
-        return Model({}, 0.0, np.zeros(0), np.zeros((0, FACTORS)), 0.0, -6.0 if positive == 0 else 6.0)
+        return Model(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)), 0.0, -6.0 if positive == 0 else 6.0)
     tuned = np.arange(n) % 4 == 3
     if not 0 < y[tuned].sum() < tuned.sum() or not 0 < y[~tuned].sum() < (~tuned).sum():
         tuned[:] = False
     use = np.flatnonzero(~tuned)
-    every = np.concatenate([found[i] for i in use])
-    own = np.concatenate([found[i] for i in use if y[i] == 1])
-    hashes, count = np.unique(every, return_counts=True)
-    hit = np.zeros(len(hashes))
-    there, c = np.unique(own, return_counts=True)
-    hit[np.searchsorted(hashes, there)] = c
-    p = y[use].mean()
-    z = (hit - count * p) / np.sqrt(count * p * (1 - p))
-    chosen = np.flatnonzero((count >= LEAST) & (np.abs(z) >= LEAST_Z))
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:TERMS]
-    slots = {int(h): k for k, h in enumerate(hashes[chosen])}
+    slots = telling([np.asarray(found[i], np.int64) for i in use], y[use], most)
     rng = np.random.default_rng(seed)
-    model = Model(slots, logit(p), np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), FACTORS)))
-    places = [sorted(slots[h] for h in x.tolist() if h in slots) for x in found]
+    model = Model(slots, logit(y[use].mean()), np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), FACTORS)))
+    places = [model.places(x) for x in found]
     gw, gv, g0 = np.full(len(slots), 1e-3), np.full((len(slots), FACTORS), 1e-3), 1e-3
-    for _ in range(epochs):
-        for i in rng.permutation(use):
-            x = places[i]
-            v = model.v[x]
-            total = v.sum(axis=0)
-            s = model.w0 + model.w[x].sum() + 0.5 * ((total**2).sum() - (v**2).sum())
-            g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[i]
-            if abs(g) < 1e-3:
-                continue
-            g0 += g * g
-            model.w0 -= rate * g / np.sqrt(g0)
-            if x:
-                dw, dv = g + 1e-3 * model.w[x], g * (total - v) + 1e-3 * v
-                gw[x] += dw**2
-                gv[x] += dv**2
-                model.w[x] -= rate * dw / np.sqrt(gw[x])
-                model.v[x] -= rate * dv / np.sqrt(gv[x])
+    for _ in range(EPOCHS):
+        order = rng.permutation(use)
+        for k in range(0, len(order), STEP):
+            rows = order[k : k + STEP]
+            lengths = np.array([len(places[i]) for i in rows])
+            x = np.concatenate([places[i] for i in rows])
+            own = np.repeat(np.arange(len(rows)), lengths)
+            v, total = model.v[x], np.zeros((len(rows), FACTORS))
+            np.add.at(total, own, v)
+            s = model.w0 + np.bincount(own, model.w[x], len(rows)) + 0.5 * ((total**2).sum(1) - np.bincount(own, (v**2).sum(1), len(rows)))
+            g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[rows]
+            g0 += float(g.sum()) ** 2
+            model.w0 -= RATE * float(g.sum()) / np.sqrt(g0)
+            x, at = np.unique(x, return_inverse=True)
+            dw = np.bincount(at, g[own], len(x)) + PULL * model.w[x]
+            dv = np.stack([np.bincount(at, g[own] * (total[own, f] - v[:, f]), len(x)) for f in range(FACTORS)], 1) + PULL * model.v[x]
+            gw[x] += dw**2
+            gv[x] += dv**2
+            model.w[x] -= RATE * dw / np.sqrt(gw[x])
+            model.v[x] -= RATE * dv / np.sqrt(gv[x])
     check = np.flatnonzero(tuned) if tuned.any() else use
     s, t = model.raw([places[i] for i in check]), y[check]
     model.scale, model.shift = _platt(s, t)
@@ -147,12 +193,17 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 1e-3 and np.isfinite(a + b) else (1.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that are not held out; an id labelled twice counts as toxic if either is."""
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = TERMS) -> Model:
+    """A model of `most` slots at most, from at most `sample` labelled ids that are not held out.
+
+    An id labelled twice counts as toxic if either is; of several rows with one id the first by its slots is taken. Null
+    ids and labels are left out, null texts count as empty; without labels of both kinds the score is constant. Other
+    columns don't matter. Ids may be of any type.
+    """
+    marked = labels.select(F.col(id_col).cast("string").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     marked = marked.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     marked = marked.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own = own.join(F.broadcast(marked), "doc_id").select("label", "text", "doc_id")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -161,19 +212,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [np.array(sorted(terms(x, known)), np.uint32).tobytes() for x in texts(batch)]
             yield {"doc_id": batch.column(2), "label": batch.column(0), "terms": found}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary())])
-    got = mapped(own, rows, "doc_id long, label int, terms binary", schema).toPandas()
-    got = got.sort_values(["doc_id", "terms"]).drop_duplicates("doc_id")
-    return fit([np.frombuffer(x, np.uint32) for x in got["terms"]], got["label"].to_numpy() > 0)
+    schema = pa.schema([("doc_id", pa.string()), ("label", pa.int32()), ("terms", pa.binary())])
+    got = mapped(own, rows, "doc_id string, label int, terms binary", schema)
+    got = got.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy(F.length("doc_id"), "doc_id").toPandas()  # `sample` rows of SPACE slots at most
+    return fit([np.frombuffer(x, np.uint32) for x in got["terms"]], got["label"].to_numpy() > 0, most=most)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1, higher: toxic likelier) and predicted (1 from THRESHOLD on); null texts count as empty.
 
-    Columns of docs with these names are replaced.
+    Every row stays, also repeated ones; ids don't matter. Columns of docs with these names are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # TERMS rows of FACTORS + 2 numbers at most
+    shared = spark.sparkContext.broadcast(model)  # TERMS slots of FACTORS + 2 numbers at most
 
     @F.pandas_udf("double")
     def rated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

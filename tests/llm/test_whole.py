@@ -6,8 +6,10 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from syndilake.llm import chat, mixing, pii, resemblance, secrets
+from syndilake.llm import chat, mixing, pii, resemblance, secrets, toxicity
 
 
 def sets_of(text):
@@ -161,3 +163,57 @@ def test_many_base_spans_take_linear_time():
     found = secrets.Covered(secrets.patterned(text))
     assert sum(not found.meets(a, b) for a, b in secrets.candidates(text)) == 20_000
     assert time.perf_counter() - began < 2
+
+
+def test_toxicity_of_pairs_that_say_nothing_apart():
+    """Either of two terms makes a text toxic, both or none don't: no term says anything by itself."""
+    rng, found, labels = random.Random(8), [], []
+    filler = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(8)]
+    for k in range(1_600):
+        a, b = bool(k % 2), bool(k // 2 % 2)
+        found.append(np.array(sorted(toxicity.terms(" ".join(rng.sample(filler, 6) + ["daft"] * a + ["folk"] * b), {})), np.uint32))
+        labels.append(int(a != b))
+    order = rng.sample(range(1_600), 1_600)
+    model = toxicity.fit([found[k] for k in order], np.array(labels)[order])
+    score = lambda t: float(model.score([toxicity.terms(t, {})])[0])
+    assert min(score("you daft"), score("good folk")) >= toxicity.THRESHOLD > max(score("you daft folk"), score("wab wac"), score(""))
+
+
+def test_toxicity_of_an_insult_with_a_group():
+    """19 toxic texts with both, at 11 % toxic and with the group in 450 texts: the pair gets parameters."""
+    rng, found, labels = random.Random(2), [], []
+    for k in range(4_000):
+        toxic = k < 440
+        pair = k < 19
+        words = [f"w{rng.randrange(300)}x".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)]
+        words += ["group"] if pair or rng.random() < 0.11 else []
+        words += ["silly"] if pair or "group" not in words and rng.random() < 0.1 else []
+        found.append(np.array(sorted(toxicity.terms(" ".join(words), {})), np.uint32))
+        labels.append(float(toxic))
+    slots = toxicity.telling([x.astype(np.int64) for x in found], np.array(labels))
+    pair = [next(iter(toxicity.terms(w, {}))) for w in ("group", "silly")]
+    assert set(pair) <= set(slots.tolist())
+
+
+def test_factorization_by_the_sum_over_pairs():
+    rng = np.random.default_rng(1)
+    slots = np.sort(rng.choice(1_000, 40, replace=False))
+    model = toxicity.Model(slots, 0.3, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)), 1.7, -0.4)
+    found = [set(rng.choice(1_000, n, replace=False).tolist()) for n in (0, 1, 10, 300)] + [set(slots.tolist())]
+    want = []
+    for x in found:
+        own = [k for k, s in enumerate(slots.tolist()) if s in x]
+        raw = 0.3 + sum(model.w[i] for i in own) + sum(model.v[i] @ model.v[j] for n, i in enumerate(own) for j in own[:n])
+        want.append(1 / (1 + np.exp(-np.clip(1.7 * raw - 0.4, -30, 30))))
+    assert np.allclose(model.score(found), want)
+
+
+def test_toxicity_query_by_row(spark):
+    """Scores of a whole table against the model applied row by row; ids that repeat, are null or texts."""
+    rows = [(f"d{k % 350}", ("you awful twit " if k % 5 == 0 else "have a nice day ") + f"text {k % 7}") for k in range(400)] + [(None, None), ("e", ""), (None, "awful twit")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", int(k % 5 == 0)) for k in range(0, 300)], "doc_id string, toxic int")
+    model = toxicity.train(frame, labels)
+    got = Counter((r.doc_id, r.text, round(r.score, 12), r.predicted) for r in toxicity.score(frame, model).collect())
+    scores = model.score([toxicity.terms(t or "", {}) for _, t in rows])
+    assert got == Counter((i, t, round(float(s), 12), int(s >= toxicity.THRESHOLD)) for (i, t), s in zip(rows, scores))
