@@ -2,7 +2,8 @@
 
 Sources, then groups of shards, then shards of documents get equal-token blocks by highest quotients. A shard's
 documents lie on a tape in an order that depends on the seed and the document alone; the shard's blocks are the
-first ones on that tape, which is passed over at most `repeat` times.
+first ones on that tape, which is passed over at most `repeat` times. Documents are dealt to shards by id and text; rows
+that are alike in both are one entry of the tape until the end. Sources are labels: their plan is made in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .common import BROADCAST_ROW_BYTES, WORD, cut, small, table
 WEIGHTS, SHARE, REPEAT, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: Words of a shard, on average; a window sorts the documents of one shard.
 SHARD_WORDS = 262_144
+#: Rows that are alike which one task writes; more are dealt out.
+RUN = 4_096
 #: A block has as many words as one part in RESOLUTION of the mix, MAX_BLOCK at most and 1 at least.
 RESOLUTION, MAX_BLOCK = 1 << 20, 256
 
@@ -71,13 +74,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     taken: the words that the mix takes of the document, `repeat` times its size at most; `whole`: taken in whole
     copies, rounded. Null texts have size 0; a null source is a source; a null id is an id like any other. Repeated
-    rows count each. An empty table gives no rows; sources without words get target 0 and none is taken. Other columns
+    rows count each; of rows that are alike some are taken and others not. An empty table gives no rows; sources without words get target 0 and none is taken. Other columns
     are ignored, whatever their names.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carried)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size")))
-    sized = cut(sized.withColumn("key", key))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), *carried)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("_text")))
+    sized = sized.withColumn("key", key).drop("_text")
+    sized = cut(sized.groupBy("doc_id", "source", "size", "key", *carried).agg(F.count(F.lit(1)).alias("rows")))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     plan = targets(totals, weights, share, repeat)
     block = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(F.col("_mix") / RESOLUTION))).cast("long")
     plan = plan.withColumn("block", block).withColumn("_blocks", F.round(F.col("_mix") / F.col("block")).cast("long"))
@@ -91,19 +95,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = sized.join(few.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
     placed = placed.withColumns({"part": F.pmod(_hex(F.col("key"), 1), F.col("groups")), "shard": F.pmod(_hex(F.col("key"), 9), F.col("per_group"))})
     fine = ["place", "part", "shard"]
-    by_shard = placed.groupBy(*fine, "block", "source_blocks").agg(F.sum("size").alias("shard_size"))
+    by_shard = placed.groupBy(*fine, "block", "source_blocks").agg(F.sum(F.col("size") * F.col("rows")).alias("shard_size"))
     by_part = by_shard.groupBy("place", "part", "source_blocks").agg(F.sum("shard_size").alias("part_size"))
     by_part = apportion(by_part, ["place"], "part", "part_size", "source_blocks", "part_blocks").drop("part_size", "source_blocks")
     by_shard = apportion(by_shard.join(by_part, ["place", "part"]), ["place", "part"], "shard", "shard_size", "part_blocks", "shard_blocks")
     words = F.least(F.col("shard_blocks") * F.col("block"), F.col("shard_size") * repeat)
     quotas = by_shard.select(*fine, "shard_size", words.alias("shard_words"))
 
-    tape = Window.partitionBy(*fine).orderBy(F.substring("key", 17, 16), "doc_id", "size")
-    at = F.sum("size").over(tape.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    tape = Window.partitionBy(*fine).orderBy(F.substring("key", 17, 16), "doc_id", "size", *carried)
+    own = F.col("size") * F.col("rows")
+    at = F.sum(own).over(tape.rowsBetween(Window.unboundedPreceding, 0)) - own
     laid = placed.withColumn("at", at).join(quotas, fine)
+    many = sized.agg(F.max("rows")).first()[0] or 0
+    if many > RUN:
+        laid = laid.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / RUN).cast("long")))).repartition("key", "run")
+        first = F.col("run") * RUN
+    else:
+        first = F.lit(0).cast("long")
+    laid = laid.withColumn("nth", F.explode(F.sequence(first, F.least(first + RUN, F.col("rows")) - 1)))
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("shard_words") / F.col("shard_size"))).otherwise(0).cast("long")
     rest = F.col("shard_words") - passes * F.col("shard_size")
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
+    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at") - F.col("nth") * F.col("size")))
     laid = laid.withColumn("taken", taken)
     whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return laid.select("doc_id", "size", "source_size", "target", "taken", whole.alias("whole"), *carried)
@@ -126,9 +138,10 @@ def _seats(name: str, rows: str, parents: str, child: str, weight: str, seats: s
 
 SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-keyed AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size) AS key FROM sized),
-totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM keyed GROUP BY source),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+keyed AS (SELECT *, count(*) AS rows_ FROM sized GROUP BY ALL),
+totals AS (SELECT source, sum(size * rows_)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM keyed GROUP BY source),
 weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS cap,
   (SELECT sum(source_size) FROM totals)::DOUBLE * 1.5::DOUBLE AS mix FROM totals),
 ordered AS (SELECT *, mix - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words,
@@ -148,14 +161,15 @@ grouped AS (SELECT *, ceil(sqrt(shards))::BIGINT AS groups FROM planned),
 placed AS (SELECT k.*, g.* EXCLUDE (source), ('0x' || substr(key, 1, 8))::BIGINT % groups AS part,
   ('0x' || substr(key, 9, 8))::BIGINT % ceil(shards / groups)::BIGINT AS shard
   FROM keyed k JOIN grouped g ON k.source IS NOT DISTINCT FROM g.source),
-shard0 AS (SELECT place, part, shard, block, source_blocks, sum(size)::BIGINT AS shard_size FROM placed GROUP BY ALL),
+shard0 AS (SELECT place, part, shard, block, source_blocks, sum(size * rows_)::BIGINT AS shard_size FROM placed GROUP BY ALL),
 part0 AS (SELECT place, part, source_blocks, sum(shard_size)::BIGINT AS part_size FROM shard0 GROUP BY ALL),
 {_seats("part1", "part0", "place", "part", "part_size", "source_blocks", "part_blocks")},
 shard1 AS (SELECT s.*, p.part_blocks FROM shard0 s JOIN part1 p USING (place, part)),
 {_seats("shard2", "shard1", "place, part", "shard", "shard_size", "part_blocks", "shard_blocks")},
 quotas AS (SELECT place, part, shard, shard_size, least(shard_blocks * block, shard_size * 2)::BIGINT AS shard_words FROM shard2),
-laid AS (SELECT p.*, q.shard_size, q.shard_words, sum(size) OVER (PARTITION BY place, part, shard ORDER BY substr(key, 17, 16), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS at_word
+laid AS (SELECT p.*, q.shard_size, q.shard_words, sum(size * rows_) OVER (PARTITION BY place, part, shard ORDER BY substr(key, 17, 16), doc_id, size ROWS UNBOUNDED PRECEDING) - size * rows_ AS at_word
   FROM placed p JOIN quotas q USING (place, part, shard)),
-passed AS (SELECT *, CASE WHEN shard_size > 0 THEN shard_words // shard_size ELSE 0 END AS passes FROM laid)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, shard_words - passes * shard_size - at_word)))::BIGINT AS taken FROM passed
+each AS (SELECT *, unnest(range(rows_)) AS nth FROM laid),
+passed AS (SELECT *, CASE WHEN shard_size > 0 THEN shard_words // shard_size ELSE 0 END AS passes FROM each)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, shard_words - passes * shard_size - at_word - nth * size)))::BIGINT AS taken FROM passed
 """

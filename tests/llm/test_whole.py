@@ -217,3 +217,15 @@ def test_toxicity_query_by_row(spark):
     got = Counter((r.doc_id, r.text, round(r.score, 12), r.predicted) for r in toxicity.score(frame, model).collect())
     scores = model.score([toxicity.terms(t or "", {}) for _, t in rows])
     assert got == Counter((i, t, round(float(s), 12), int(s >= toxicity.THRESHOLD)) for (i, t), s in zip(rows, scores))
+
+
+def test_mixing_rows_that_are_alike(spark, monkeypatch):
+    """A third of all rows are one row; its copies share what the mix takes, also when they are dealt out."""
+    rows = [(k, f"w{k} " * (k % 30), "s") for k in range(600)] + [(None, "all the same", "s")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(frame).collect()]
+    assert len(got) == 900 and sum(r[0] is None for r in got) == 300
+    assert all(r[4] <= 2 * r[1] for r in got) and abs(sum(r[4] for r in got) - got[0][3]) <= 2
+    assert sum(r[4] for r in got if r[0] is None) > 600
+    monkeypatch.setattr(mixing, "RUN", 16)
+    assert Counter((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(frame).collect()) == Counter(got)
