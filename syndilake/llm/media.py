@@ -6,7 +6,8 @@ wherever they stand. A store holds each chunk once, by digest; an ordered list o
 SHA-256 must be the one that was recorded.
 
 The store is a table bucketed by digest: chunk lists meet it without its bytes being shuffled again. Files of one chunk
-are rebuilt where the chunk lies, only the others' chunks are brought together. Equal files are rebuilt once.
+are rebuilt where the chunk lies, only the others' chunks are brought together. Equal files are rebuilt once. Chunks of
+many files are handed out in copies, one for SERVED files, so that no task serves them all.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, freed, mapped, table
+from .common import cut, freed, mapped, small, table
 
 UNIT, RATE, HEADER = 64, 8_000, 44
 #: Bytes of a chunk: the least, the most, and the number of clear bits that end one (4 KiB beyond the least, on average).
@@ -36,6 +37,8 @@ GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little
 AT_ONCE = 4 << 20
 #: Digests that a task remembers, to pass a chunk on once.
 REMEMBERED = 200_000
+#: Files that one copy of a chunk serves; a chunk of more files is handed out in more copies. Bytes of a bucket, about.
+SERVED, BUCKET = 4_096, 256 << 20
 
 
 def wav(payload: bytes) -> bytes:
@@ -96,7 +99,11 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 
 def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media_bytes, media (SHA-256 of the file), digests (of its chunks, in order) of each row."""
+    """doc_id, n_bytes, media_bytes, media (SHA-256 of the file), digests (of its chunks, in order) of each row.
+
+    Null and empty texts are a file of 64 zeros; repeated rows and ids give a row each; ids may be null; an empty table
+    gives no rows; other columns are ignored.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType
 
@@ -109,8 +116,12 @@ def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return mapped(own, rows, f"doc_id {kind.simpleString()}, n_bytes long, media_bytes long, media binary, digests array<binary>", types)
 
 
-def store(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    """Writes the table `name` (digest, bytes as zstd) with each distinct chunk of the documents once, and reads it."""
+def store(docs: DataFrame, name: str, text_col: str = "text", size: int = 0) -> DataFrame:
+    """Writes the table `name` (digest, bytes as zstd) with each distinct chunk of the documents once, and reads it.
+
+    size: bytes of all files, from which the number of buckets comes. Nulls and repeats as in manifests(); an empty table
+    gives an empty store.
+    """
     spark = docs.sparkSession
     own = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -125,17 +136,32 @@ def store(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
             yield {"digest": list(found), "bytes": list(map(packer.compress, found.values()))}
 
     every = mapped(own, rows, "digest binary, bytes binary", pa.schema([("digest", pa.binary()), ("bytes", pa.binary())]))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, -(-size // BUCKET)))
     once = every.repartition(n, "digest").dropDuplicates(["digest"])
     freed(spark, lambda: once.write.bucketBy(n, "digest").sortBy("digest").option("compression", "uncompressed").saveAsTable(name))
     return spark.table(name)
 
 
 def rebuilt(lists: DataFrame, chunk_store: DataFrame, rows_of: Callable[[bytes, bytes], dict], schema: str, types: pa.Schema) -> DataFrame:
-    """rows_of(media, file) for each distinct file of manifests, put together from the store and verified."""
+    """rows_of(media, file) for each distinct file of manifests, put together from the store and verified.
+
+    lists must have a cut lineage. A chunk that the store lacks and a file with another SHA-256 than the recorded one are
+    errors. No lists give no rows.
+    """
     once = lists.select("media", "digests").dropDuplicates(["media"])
     parts = once.select("media", F.size("digests").alias("n"), F.posexplode("digests").alias("seq", "digest"))
-    met = parts.join(chunk_store.hint("shuffle_merge"), "digest", "left").select("media", "seq", "n", "bytes")
+    chunk_store = chunk_store.hint("shuffle_merge")
+    hot = cut(parts.groupBy("digest").count().filter(F.col("count") > SERVED).select("digest", F.ceil(F.col("count") / SERVED).cast("int").alias("copies")))
+    if not hot.limit(1).count():
+        met = parts.join(chunk_store, "digest", "left")
+    else:
+        few = small(hot)
+        placed = parts.join(few, "digest", "left")
+        cold = placed.filter("copies IS NULL").drop("copies").join(chunk_store, "digest", "left")
+        handed = chunk_store.join(few, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("digest", "copy", "bytes")
+        asked = placed.filter("copies IS NOT NULL").withColumn("copy", F.pmod(F.xxhash64("media", "seq"), F.col("copies")).cast("int")).drop("copies")
+        met = cold.unionByName(asked.join(handed.hint("shuffle_merge"), ["digest", "copy"], "left").drop("copy"))
+    met = met.select("media", "seq", "n", "bytes")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpacker = zstandard.ZstdDecompressor()
@@ -194,7 +220,8 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     name = f"media_chunks_{uuid4().hex}"
     types = pa.schema([("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
     try:
-        found = cut(rebuilt(lists, store(docs, name, text_col), features, "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string", types))
+        size = lists.agg(F.sum("media_bytes")).first()[0] or 0
+        found = cut(rebuilt(lists, store(docs, name, text_col, size), features, "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string", types))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     out = lists.drop("digests").join(found, "media")

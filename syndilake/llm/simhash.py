@@ -16,14 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import cut, mapped, small, table
-from .components import components
+from .components import components, named_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Shards with more members than this are dealt again by the bits that they don't agree on.
 SHARD = 2_048
+DEALS = 2
 #: Members of a shard, on average, up to which the number of blocks suffices.
 MEAN = 128
 
@@ -47,15 +49,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, fp) of each row: fp is the fingerprint as a signed 64-bit integer, 0 for null and empty texts."""
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = ids.schema["doc_id"].dataType
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             found = [fingerprint(x.as_py() or "", shingle) for x in batch.column(1)]
             yield {"doc_id": batch.column(0), "fp": np.array(found, np.uint64).view(np.int64)}
 
-    return mapped(ids, rows, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+    return mapped(ids, rows, f"doc_id {kind.simpleString()}, fp long", pa.schema([("doc_id", to_arrow_type(kind)), ("fp", pa.int64())]))
 
 
 def blocks(n: int, radius: int = RADIUS) -> int:
@@ -121,38 +124,68 @@ def joined(points: list[int], radius: int = RADIUS) -> Iterator[tuple[int, int]]
                 yield at, place
 
 
-def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius.
+def dealt_again(hot: DataFrame, radius: int) -> DataFrame:
+    """Rows (key, free, fp) of crowded shards, each dealt to radius + 1 smaller ones.
+
+    free has the bits that the members of a shard may differ in. They are cut into radius + 1 blocks; two members within
+    the radius agree on one of these at least, and meet in the shard of that block and its bits.
+    """
 
-    Shards above SHARD members, which are rare unless a near-copy group is large, are dealt again by radius + 1 blocks
-    of the bits that their members may differ in, so that no task gets a group that grows with the corpus whole.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            key, free, fp = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            for mask in np.unique(free).tolist():
+                own = np.flatnonzero(free == mask)
+                bits = [x for x in range(BITS) if mask >> x & 1]
+                cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    block = sum(1 << x for x in bits[a:b])
+                    agreed = fp[own] & np.uint64(block)
+                    yield {"old": key[own].view(np.int64), "block": [j] * len(own), "agreed": agreed.view(np.int64), "free": np.full(len(own), mask & ~block, np.uint64).view(np.int64), "fp": fp[own].view(np.int64)}
+
+    types = pa.schema([("old", pa.int64()), ("block", pa.int32()), ("agreed", pa.int64()), ("free", pa.int64()), ("fp", pa.int64())])
+    out = mapped(hot.select("key", "free", "fp"), rows, "old long, block int, agreed long, free long, fp long", types)
+    return out.select(F.xxhash64("old", "block", "agreed").alias("key"), "free", "fp")
+
+
+def shards(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(key, fp): distinct fingerprints fp dealt to shards such that any two within the radius share one.
+
+    Shards above SHARD members, which are rare unless a near-copy group is large, are dealt again, DEALS times at most,
+    by the bits that their members may differ in. What is crowded still is cut into parts of half of SHARD, and every two
+    parts are a shard.
     """
     k = blocks(n, radius)
     at = edges_of(k)
-    kept = list(combinations(range(k), k - radius))
-
-    def part(fp, i):  # noqa: ANN001, ANN202
-        width = at[i + 1] - at[i]
-        return F.shiftrightunsigned(fp, at[i]).bitwiseAND((1 << width) - 1)
-
-    keys = [F.struct(F.lit(c).alias("shard"), F.array(*(part(F.col("fp"), i) for i in chosen)).alias("bits")) for c, chosen in enumerate(kept)]
-    dealt = points.select("fp").withColumn("key", F.explode(F.array(*keys)))
-    hot = cut(dealt.groupBy("key").count().filter(F.col("count") > SHARD).select("key", F.lit(True).alias("hot")))
-    if hot.limit(1).count():
-        dealt = dealt.join(small(hot), "key", "left")
-        other = [[i for i in range(k) if i not in chosen] for chosen in kept]
-        free = [[x for i in blocks_ for x in range(at[i], at[i + 1])] for blocks_ in other]
-        spread = []
-        for c, bits in enumerate(free):
-            cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
-            masks = [sum(1 << x for x in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
-            signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-            inner = F.array(*(F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for j, m in enumerate(signed)))
-            spread.append(F.when(F.col("key.shard") == c, inner))
-        one = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("v")))
-        dealt = dealt.withColumn("sub", F.explode(F.when(F.col("hot"), F.coalesce(*spread)).otherwise(one)))
-        dealt = dealt.select("fp", F.struct("key", "sub").alias("key"))
-    dealt = dealt.select(F.xxhash64("key").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    masks = [((1 << at[i + 1]) - 1) ^ ((1 << at[i]) - 1) for i in range(k)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = []
+    for c, chosen in enumerate(combinations(range(k), k - radius)):
+        mask = sum(masks[i] for i in chosen)
+        keys.append(F.struct(F.xxhash64(F.lit(c), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long"))).alias("key"), F.lit(signed(mask ^ ((1 << BITS) - 1))).cast("long").alias("free")))
+    open_ = points.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.free", "fp")
+    done = []
+    for deal in range(DEALS + 1):
+        hot = cut(open_.groupBy("key").count().filter(F.col("count") > SHARD).select("key", F.ceil(F.col("count") / max(1, SHARD // 2)).alias("parts")))
+        if not hot.limit(1).count():
+            break
+        told = open_.join(small(hot), "key", "left")
+        done.append(told.filter("parts IS NULL").select("key", "fp"))
+        open_ = told.filter("parts IS NOT NULL")
+        if deal < DEALS:
+            open_ = cut(dealt_again(open_, radius))
+            continue
+        part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least("part", j), F.greatest("part", j)))
+        open_ = open_.withColumn("part", part).select(F.explode(pairs).alias("key"), "fp")
+    for rows in done:
+        open_ = open_.select("key", "fp").unionByName(rows)
+    return open_.select("key", "fp")
+
+
+def links(points: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius. No points give no edges."""
+    dealt = shards(points, n, radius).repartition("key").sortWithinPartitions("key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         key, points, out = None, [], ([], [])
@@ -181,15 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Null and empty texts have fingerprint 0 and link like any other. Repeated ids and rows give a row each. Rows
-    with null ids link like any other; a component of such rows alone is null. An empty
-    table gives no rows. Other columns are ignored, whatever their names.
+    with null ids link like any other; a component of such rows alone is null. An empty table gives no rows. Other
+    columns are ignored, whatever their names. Ids may be of any type that can be ordered.
     """
     each = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct, distinct.count(), radius)).withColumnRenamed("node", "fp")
-    labelled = distinct.join(found, "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
+    found = components(links(distinct, distinct.count(), radius))
+    named = named_components(distinct.withColumnRenamed("fp", "node"), found).withColumnRenamed("node", "fp")
     out = each.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

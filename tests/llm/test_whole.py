@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from syndilake.llm import chat, mixing, pii, resemblance, secrets, toxicity
+from syndilake.llm import chat, media, mixing, pii, resemblance, secrets, simhash, toxicity
 
 
 def sets_of(text):
@@ -229,3 +229,36 @@ def test_mixing_rows_that_are_alike(spark, monkeypatch):
     assert sum(r[4] for r in got if r[0] is None) > 600
     monkeypatch.setattr(mixing, "RUN", 16)
     assert Counter((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(frame).collect()) == Counter(got)
+
+
+def test_no_crowded_shard_is_left(spark):
+    """A ball of 30,000 fingerprints round one: all shards stay small, and all pairs within the radius still meet."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    points = {base}
+    while len(points) < 30_000:
+        points.add(base ^ sum(1 << b for b in rng.sample(range(64), 4)))
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
+    dealt = simhash.shards(frame, len(points)).persist()
+    assert dealt.groupBy("key").count().agg({"count": "max"}).first()[0] <= 1.2 * simhash.SHARD
+    some = rng.sample(sorted(points), 400)
+    keys = {}
+    for r in dealt.join(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in some], "fp long"), "fp").collect():
+        keys.setdefault(r.fp & (1 << 64) - 1, set()).add(r.key)
+    dealt.unpersist()
+    close = [(a, b) for k, a in enumerate(some) for b in some[:k] if (a ^ b).bit_count() <= 4]
+    assert len(close) > 10 and all(keys[a] & keys[b] for a, b in close)
+
+
+def test_chunks_of_many_files_are_handed_out(spark, monkeypatch):
+    """The same files when every shared chunk counts as hot."""
+    rng = random.Random(7)
+    shared = " ".join(f"w{rng.randrange(10**6)}" for _ in range(4_000))
+    rows = [(k, f"{k} " * (k % 40) + shared) for k in range(60)] + [(None, None), (3, ""), (3, shared)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(map(tuple, media.described(frame).collect()))
+    monkeypatch.setattr(media, "SERVED", 8)
+    assert Counter(map(tuple, media.described(frame).collect())) == want
+    levels = {r.doc_id: r.feature for r in media.described(frame).collect() if r.doc_id in (5,)}
+    own = media.payload(rows[5][1])
+    assert f"n={len(own)};min={min(own)};max={max(own)};sum={sum(own)};crossings=0;distinct={len(set(own))}" in levels[5]
