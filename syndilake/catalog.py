@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import virtual
-from .functions import content, dates, text, url
-from .operators import feeds, pages, routing
+from .functions import content, dates, platforms, text, url
+from .operators import feeds, pages, routing, sites
 from .plans import discovery, distributions, quality, sketches, timing
 from .plans import feeds as reports
 from .sources import lists
@@ -340,10 +340,9 @@ def html_fingerprint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.platform_table(virtual.page_table(spark, sf_dir))
 
 
-@query()
+@query(sql("links") + f" SELECT page_url, list_sort(list(DISTINCT feed_url)) AS feeds FROM v_links GROUP BY 1 HAVING count(DISTINCT feed_url) > 1 ORDER BY md5(page_url), page_url LIMIT {discovery.SAMPLE}")
 def multi_feed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample by hash; a hash that DuckDB lacks."""
-    return discovery.several(virtual.link_table(spark, sf_dir))
+    return discovery.several(virtual.link_table(spark, sf_dir), limit=discovery.SAMPLE)
 
 
 #: Feeds with few titles and links, so that pages have copies.
@@ -356,7 +355,7 @@ same AS (SELECT page_url, link, title, count(*) AS copies, list(format) AS forma
 def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     u = F.regexp_extract("url", "([0-9]+)$", 1).cast("int")
     own = virtual.feed_table(spark, sf_dir).select("url", F.when(u % 3 != 0, F.concat(F.lit("HTTPS://H.example.org/"), (u % 3).cast("string"), F.lit("/?q="), u.cast("string"))).alias("link"), F.concat(F.lit(" A  "), (u % 5).cast("string")).alias("title"), "format")
-    return discovery.several(virtual.link_table(spark, sf_dir), limit=1 << 30), own
+    return discovery.several(virtual.link_table(spark, sf_dir)), own
 
 
 @query(sql("feeds", "links") + _COPIES + " SELECT page_url, (sum(copies) - count(*))::BIGINT AS extra FROM same GROUP BY 1")
@@ -400,6 +399,50 @@ def url_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", url.host(F.col("url")).alias("host"), url.site(F.col("url")).alias("site"))
 
 
+#: Hosts with ports, users, addresses, and suffixes that are long, wild, exempt or unknown: a URL, its host and its site, by a number.
+_HOSTS = (
+    ("https://Blog%s.Example.co.uk:8080/x", "blog%s.example.co.uk", "example.co.uk"), ("http://user:pw@a.b%s.github.io/", "a.b%s.github.io", "b%s.github.io"), ("https://b%s.github.io", "b%s.github.io", "b%s.github.io"),
+    ("https://github.io/%s", "github.io", "github.io"), ("http://x.y%s.unknownsuffix/?q#f", "x.y%s.unknownsuffix", "y%s.unknownsuffix"), ("https://www.w%s.anything.ck/", "www.w%s.anything.ck", "w%s.anything.ck"),
+    ("https://a.www.ck/%s", "a.www.ck", "www.ck"), ("http://city.kawasaki.jp/%s", "city.kawasaki.jp", "city.kawasaki.jp"), ("http://s.t%s.ward.kawasaki.jp/", "s.t%s.ward.kawasaki.jp", "t%s.ward.kawasaki.jp"),
+    ("http://10.0.0.%s:81/", "10.0.0.%s", "10.0.0.%s"), ("http://[2001:db8::%s]:81/", "2001:db8::%s", "2001:db8::%s"), ("plain%s.example.com/path", "plain%s.example.com", "example.com"), ("https://deep.er.s%s.example.com.au./", "deep.er.s%s.example.com.au.", "example.com.au"),
+)
+_NUMBERED = lambda text: "'" + text.replace("%s", "' || (page_id % 200) || '") + "'"
+_HOSTS_SQL = "SELECT page_id, " + ", ".join(f"CASE page_id % {len(_HOSTS)} " + " ".join(f"WHEN {k} THEN {_NUMBERED(h[c])}" for k, h in enumerate(_HOSTS)) + f" END AS {name}" for c, name in ((1, "host"), (2, "site"))) + " FROM pages"
+
+
+def _hard_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % len(_HOSTS)
+    out = F.lit(None).cast("string")
+    for n, (made, _, _) in enumerate(_HOSTS):
+        out = F.when(k == n, F.format_string(made, (F.col("page_id") % 200).cast("string"))).otherwise(out)
+    return _read(spark, sf_dir, "pages").select("page_id", out.alias("url"))
+
+
+@query(_HOSTS_SQL)
+def url_site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hard_urls(spark, sf_dir).select("page_id", url.host(F.col("url")).alias("host"), url.site(F.col("url")).alias("site"))
+
+
+@query(_HOSTS_SQL)
+def url_site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.with_site(_hard_urls(spark, sf_dir), F.col("url"), sites.suffix_table(spark)).select("page_id", url.host(F.col("url")).alias("host"), "site")
+
+
+_VALUES = {"WordPress 6.4; https://wp.com": ["wordpress"], "Ghost/5": ["ghost"], "xghosty": [], "a blogspot Blogger": ["blogger"], "x.wp.com.y": ["wordpress"], "Drupal 9 (https://drupal.org) + Substack!": ["drupal", "substack"], "": []}
+
+
+@query("SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{' '.join(v)}'" for k, v in enumerate(_VALUES.values())) + " END AS of_value, CASE WHEN page_id % 2 = 1 THEN '' ELSE CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{' '.join(v)}'" for k, v in enumerate(_VALUES.values())) + """ END END AS of_headers,
+  CASE WHEN contains(html, '<') AND contains(html, '>') THEN 'html' ELSE 'plain' END AS of_html, CASE WHEN contains(url, '<') AND contains(url, '>') THEN 'html' ELSE 'plain' END AS of_url,
+  CASE page_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'xhtml' WHEN 2 THEN 'plain' WHEN 3 THEN 'html' ELSE 'plain' END AS of_type FROM pages""")
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platforms of values and of headers; kinds of text, and of type attributes."""
+    value = F.get(F.array(*map(F.lit, _VALUES)), (F.col("page_id") % 7).cast("int"))
+    named = F.create_map(F.when(F.col("page_id") % 2 == 0, "x-generator").otherwise("x-other"), value)
+    kind = F.get(F.array(F.lit(" HTML "), F.lit("application/XHTML+xml"), F.lit("text"), F.lit("text/html"), F.lit(None)), (F.col("page_id") % 5).cast("int"))
+    return _read(spark, sf_dir, "pages").select("page_id", F.array_join(platforms.of_value(value), " ").alias("of_value"), F.array_join(platforms.of_headers(named), " ").alias("of_headers"),
+                                                content.text_content_type(F.col("html")).alias("of_html"), content.text_content_type(F.col("url")).alias("of_url"), content.atom_content_type(kind).alias("of_type"))
+
+
 @query(sql("headers") + """, k AS (SELECT *, trim(split_part(lower(header), ';', 1)) AS kind FROM v_headers) SELECT page_id, kind AS media_type, trim(replace(coalesce(list_extract(regexp_extract_all(lower(header), ';\\s*charset=([^;]*)', 1), -1), ''), '"', '')) AS charset,
   kind IN ('application/rss+xml', 'application/atom+xml', 'application/xml+rss', 'text/rss', 'text/atom') OR kind LIKE '%+rss' OR kind LIKE '%+atom' AS is_feed,
   kind LIKE '%xml%' OR kind LIKE '%text/plain%' OR kind LIKE '%application/octet-stream%' AS is_sniffable,
@@ -440,6 +483,14 @@ def route_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.routed(_responses(spark, sf_dir)).select("page_id", "route")
 
 
+@query(_ROUTES + """ SELECT count(*) FILTER (record_type = 'response') AS responses_processed, count(*) FILTER (route <> 'dropped') AS pages_processed, count(*) FILTER (route = 'html') AS html_pages,
+  count(*) FILTER (route = 'feed') AS feed_responses, count(*) FILTER (route = 'sniffed') AS feeds_sniffed,
+  count(DISTINCT regexp_extract(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '([^.]+[.][^.]+)$', 1)) FILTER (route <> 'dropped') AS sites,
+  max('2024-02-01T00:00:00Z') FILTER (route <> 'dropped') AS max_crawl_time FROM routed JOIN v_headers USING (page_id)""")
+def route_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.counters(routing.routed(_responses(spark, sf_dir)))
+
+
 @query(_ROUTES + " SELECT route, count(*) AS n FROM routed GROUP BY 1")
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.counted(routing.routed(_responses(spark, sf_dir)), F.col("route"), "route")
@@ -460,9 +511,17 @@ def sites_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.exact(_read(spark, sf_dir, "pages").select(url.site(F.col("url")).alias("site")))
 
 
-@query()
+#: CRC-32 by its table, which follows from the polynomial.
+_CRC = """WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS s FROM pages), b AS (SELECT s, list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT) AS bytes FROM h WHERE s <> ''),
+c AS (SELECT s, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc FROM b, t),
+r AS (SELECT crc & 4095 AS register, max(CASE WHEN crc >> 12 = 0 THEN 21 ELSE 21 - length(ltrim(bin(crc >> 12), '0')) END) AS rho FROM c GROUP BY 1),
+e AS (SELECT count(*) AS k, coalesce(sum(pow(2.0, -rho)), 0) AS s FROM r), w AS (SELECT 4096 - k AS empty, 0.7213 / (1 + 1.079 / 4096) * 4096 * 4096 / (s + 4096 - k) AS raw FROM e)
+SELECT floor(CASE WHEN raw <= 10240 AND empty > 0 THEN 4096 * ln(4096 / empty::DOUBLE) ELSE raw END)::BIGINT AS sites FROM w"""
+
+
+@query(_CRC)
 def sites_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB has no CRC-32."""
     return sketches.estimate(sketches.registers(_read(spark, sf_dir, "pages").select(url.host(F.col("url")).alias("site"))))
 
 
@@ -531,6 +590,41 @@ for _kind, _form in (("rss", "rss2.0"), ("atom", "atom10"), ("rdf", "rss10")):
     _round_trip(_kind, _form)
 
 
+_RSS = '<rss version="2.0"><channel><title>%s</title></channel></rss>'
+
+
+def _declared(name: str, title: str) -> tuple[bytes, int, str]:
+    """A feed whose title is in an encoding that it declares."""
+    return f'<?xml version="1.0" encoding="{name}"?>{_RSS}'.replace("%s", title).encode(name), 200, f"true, NULL, '{title}', 'rss2.0', 0, 'unknown'"
+
+
+_ATOM = '<feed xmlns="http://www.w3.org/2005/Atom" xml:lang="en"><title>t</title>%s</feed>'
+#: Documents, their status, and what is to be read of them: valid, error_type, title, format, entries, profile.
+_VARIED = (
+    _declared("Shift_JIS", "日本"), _declared("EUC-JP", "日本"), _declared("GB2312", "日本"), _declared("Big5", "日本"), _declared("EUC-KR", "한국"), _declared("windows-1252", "€"), _declared("ISO-8859-1", "é"), _declared("UTF-16", "日本"),
+    (b"\xef\xbb\xbf" + _RSS.replace("%s", "é").encode(), 200, "true, NULL, 'é', 'rss2.0', 0, 'unknown'"),
+    (b'<?xml version="1.0" encoding="Shift_JIS"?><rss><channel><title>\xff\xff</title></channel></rss>', 200, "false, 'UnicodeDecodeError', NULL, NULL, 0, 'unknown'"),
+    (b'<?xml version="1.0" encoding="none-such"?><rss/>', 200, "false, 'LookupError', NULL, NULL, 0, 'unknown'"),
+    (b"<rss><channel><title>x</channel></rss>", 200, "false, 'mismatched tag', NULL, NULL, 0, 'unknown'"), (b"<rss><channel><item>", 200, "false, 'no element found', NULL, NULL, 0, 'unknown'"), (b"", 200, "false, 'Empty response', NULL, NULL, 0, 'unknown'"),
+    (b"no xml", 200, "false, 'Not XML', NULL, NULL, 0, 'unknown'"), (b"<html/>", 200, "false, 'Unknown root tag: html', NULL, NULL, 0, 'unknown'"), (b'<!DOCTYPE r [<!ENTITY e "x">]><rss>&e;</rss>', 200, "false, 'Entity declaration', NULL, NULL, 0, 'unknown'"),
+    (_RSS.encode(), 404, "false, NULL, NULL, NULL, 0, 'unknown'"), (_RSS.encode(), 503, "false, NULL, NULL, NULL, 0, 'unknown'"), (_RSS.replace("%s", "moved").encode(), 301, "true, NULL, 'moved', 'rss2.0', 0, 'unknown'"),
+    (_ATOM.replace("%s", '<entry><title>same</title><content type="xhtml"><div>a <b>c</b></div></content></entry><entry><title>Same </title><summary>s</summary></entry>').encode(), 200, "true, NULL, 't', 'atom10', 2, 'mixed'"),
+    (_ATOM.replace("%s", '<entry><content type="html">&lt;p&gt;</content></entry>').encode(), 200, "true, NULL, 't', 'atom10', 1, 'html'"),
+)
+
+
+@query("SELECT page_id, " + ", ".join(f"(CASE page_id % {len(_VARIED)} " + " ".join(f"WHEN {k} THEN {v[2].rsplit(', ', 5)[c]}" for k, v in enumerate(_VARIED)) + f" END){cast} AS {name}" for c, (name, cast) in enumerate((("valid", "::BOOLEAN"), ("error_type", "::VARCHAR"), ("title", "::VARCHAR"), ("format", "::VARCHAR"), ("entries", "::INT"), ("profile", "::VARCHAR"))))
+       + f", (CASE page_id % {len(_VARIED)} WHEN {len(_VARIED) - 2} THEN 2 ELSE 0 END)::INT AS repeated FROM pages")
+def parse_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodings, faults of many kinds, empty bodies, answers that aren't parsed, nested and repeated content."""
+    k = (F.col("page_id") % len(_VARIED)).cast("int")
+    rows = _read(spark, sf_dir, "pages").select(F.concat(F.lit("http://h.example.org/f/"), F.col("page_id").cast("string")).alias("url"), F.get(F.array(*(F.lit(v[1]) for v in _VARIED)), k).alias("http_status"),
+                                                F.create_map(F.lit("content-type"), F.lit("text/xml")).alias("http_headers"), F.lit("2024-02-01T00:00:00Z").alias("warc_date"), F.lit("feed_media_type").alias("candidate_source"), F.lit(None).cast("string").alias("error"),
+                                                F.lit("").alias("warc_path"), F.col("page_id").cast("long").alias("offset"), F.get(F.array(*(F.lit(bytearray(v[0])) for v in _VARIED)), k).alias("body"))
+    found = feeds.records(rows, _now())
+    return found.select(F.col("offset").alias("page_id"), "valid", "error_type", "title", "format", F.coalesce("entries_count", F.lit(0)).alias("entries"), F.coalesce("content_type_profile", F.lit("unknown")).alias("profile"), F.coalesce("repeated_entry_title_count", F.lit(0)).alias("repeated"))
+
+
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 5
     link = F.when(k == 0, '<link rel="alternate" type="application/rss+xml" title="T" href="/feed">').when(k == 1, "<LINK HREF='a.xml' REL='Feed  Alternate' TYPE='application/atom+xml; x=1'>")

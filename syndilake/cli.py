@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import mock
+from .operators.sites import read_suffixes
 from .report import render, survey
 from .report.probe import probe
 from .ship import ship
@@ -19,6 +20,8 @@ def main(args: list[str] | None = None) -> int:
     kinds = parser.add_subparsers(dest="kind", required=True)
     crawl = kinds.add_parser("crawl", help="survey WARC files")
     crawl.add_argument("warcs", help="paths, globs too, by commas; @file for a list of paths")
+    crawl.add_argument("--prefix", default="", help="what paths of a list begin with, such as https://host/")
+    crawl.add_argument("--suffixes", help="a public suffix list")
     crawl.add_argument("--top-sites", help="CSV of rank,domain")
     crawl.add_argument("--top", type=int, help="lines of it")
     crawl.add_argument("--limit", type=int, help="WARC files")
@@ -32,6 +35,9 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("url")
     one.add_argument("--recursive", action="store_true")
     one.add_argument("--max-feeds", type=int, default=10)
+    logs = kinds.add_parser("timing", help="Markdown of task logs")
+    logs.add_argument("folder")
+    logs.add_argument("--top", type=int, default=10)
     made = kinds.add_parser("mock", help="write made-up feeds")
     made.add_argument("-n", type=int, default=50_000)
     for p in (crawl, subscriptions, made):
@@ -44,8 +50,14 @@ def main(args: list[str] | None = None) -> int:
     epoch = F.timestamp_seconds(F.lit(0))
     if own.kind == "probe":
         print(probe(spark, own.url, recursive=own.recursive, most=own.max_feeds))
+    elif own.kind == "timing":
+        print(render.timing_summary(*lists.logs(spark, own.folder), own.top))
     elif own.kind == "mock":
-        mock.feeds(spark, own.n, F.to_timestamp(F.lit("2024-03-01T00:00:00Z"))).write.mode("overwrite").parquet(f"{own.facts}/feeds")
+        now = F.to_timestamp(F.lit("2024-03-01T00:00:00Z"))
+        made_feeds = survey.kept(mock.feeds(spark, own.n, now), f"{own.facts}/feeds")
+        made_links = survey.kept(mock.links(spark, own.n, own.n), f"{own.facts}/links")
+        made_pages = survey.kept(mock.pages(spark, made_links, own.n), f"{own.facts}/pages")
+        survey.kept(mock.counters(made_pages, made_feeds, now), f"{own.facts}/counters")
     elif own.kind == "opml":
         def fetcher(url: str) -> tuple[int, dict[str, str], bytes]:
             return fetch.get(url, own.timeout, own.max_bytes)
@@ -53,13 +65,15 @@ def main(args: list[str] | None = None) -> int:
         rows = survey.opml_responses(spark, lists.read_opml(spark, own.source), fetcher, not own.no_html)
         survey.report(survey.opml_facts(rows, epoch, own.facts), render.opml_title(own.source), own.out)
     else:
-        paths = own.warcs
-        if paths.startswith("@"):
-            paths = ",".join(r.path for r in lists.paths(spark, paths[1:], own.limit).collect())
         options = {"limit_records": own.limit_records} if own.limit_records else {}
-        top = lists.top_sites(spark, own.top_sites, own.top) if own.top_sites else None
-        routes = survey.staged(warc.read_warc(spark, paths, **options), top, own.facts)
-        survey.report(survey.facts(routes, epoch, own.facts), f"Feeds of {own.warcs}", own.out)
+        if own.warcs.startswith("@"):
+            rows = warc.read_warcs(spark, lists.paths(spark, own.warcs[1:], own.limit).withColumn("path", F.concat(F.lit(own.prefix), "path")), **options)
+        else:
+            rows = warc.read_warc(spark, own.warcs, **options)
+        suffixes = read_suffixes(spark, own.suffixes) if own.suffixes else None
+        top = lists.top_sites(spark, own.top_sites, own.top, suffixes) if own.top_sites else None
+        routes = survey.staged(rows, top, own.facts, suffixes)
+        survey.report(survey.facts(routes, epoch, own.facts, suffixes), f"Feeds of {own.warcs}", own.out, suffixes)
     return 0
 
 

@@ -32,7 +32,7 @@ def recently(date: Column, at: Column) -> Column:
 
 
 def request_time(text: Column, otherwise: Column) -> Column:
-    """An ISO date as crawlers write it; `otherwise` for anything else."""
+    """An ISO date as crawlers write it, else any other that Spark reads; `otherwise` for anything else. operators.feeds tries free forms too."""
     return F.coalesce(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), text), F.lit("yyyy-MM-dd'T'HH:mm:ssX")), F.try_to_timestamp(text), otherwise)
 
 

@@ -65,13 +65,23 @@ def host(url: Column) -> Column:
     return F.when(text.rlike(r"^https?://"), named).otherwise(F.substring_index(text, "/", 1))
 
 
+def is_address(name: Column) -> Column:
+    """An IP address, or nothing."""
+    return (name == "") | name.rlike(_IP)
+
+
+def bare_host(url: Column) -> Column:
+    """host() without dots at its ends."""
+    return F.regexp_replace(host(url), r"^\.+|\.+$", "")
+
+
 def site(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Registrable domain by a suffix list: one label more than the longest suffix; IP addresses and others are themselves.
 
     A suffix that the list lacks counts as one label, as the list's algorithm has it. A host that is itself a suffix is
-    its own site.
+    its own site. The list is part of the expression: for some hundred suffixes; operators.sites takes a whole list.
     """
-    name = F.regexp_replace(host(url), r"^\.+|\.+$", "")
+    name = bare_host(url)
     labels = F.split(name, r"\.")
     n = F.size(labels)
     plain = F.array(*(F.lit(s) for s in suffixes if s[0] not in "*!"))
@@ -90,4 +100,4 @@ def site(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
         F.greatest(F.array_max(F.transform(places, length)), F.lit(1))
     )
     own = F.array_join(F.slice(labels, F.greatest(F.lit(1), n - longest), longest + 1), ".")
-    return F.when((name == "") | name.rlike(_IP), name).when(n <= longest, name).otherwise(own)
+    return F.when(is_address(name), name).when(n <= longest, name).otherwise(own)

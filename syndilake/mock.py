@@ -1,4 +1,7 @@
-"""Made-up feed records of any number, for trying out reports: hashes of a row's number choose everything."""
+"""Made-up facts of any number, for trying out reports: hashes of a row's number choose everything.
+
+Feeds, the pages that announce them, their links (one page in SEVERAL announces more than one feed), and counters.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,10 @@ PLATFORMS = (("wordpress", 45), ("ghost", 6), ("drupal", 6), ("substack", 8), (N
 LANGUAGES = (("en", 50), ("de", 12), ("fr", 10), ("es", 8), (None, 20))
 
 
+#: One page in so many announces two to five feeds; feeds of a site.
+SEVERAL, PER_SITE = 10, 8
+
+
 def _hash(salt: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.lit(seed), "id"), F.lit(10_000))
 
@@ -47,3 +54,35 @@ def feeds(spark: SparkSession, n: int, now: Column, seed: int = 42) -> DataFrame
         "has_paging_link": h("paging") < 500, "has_archive_link": h("archive") < 100, "update_cadence_days": F.round(days, 2), "update_cadence_bucket": dates.cadence_bucket(days), "has_hreflang": F.lit(False),
     }
     return spark.range(n).select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.FEEDS.fields))
+
+
+def links(spark: SparkSession, feeds_n: int, pages_n: int, seed: int = 42) -> DataFrame:
+    """Rows of operators.pages.links(): what pages_n pages announce of feeds_n feeds."""
+    h = lambda salt: _hash(salt, seed)
+    more = F.when(h("several") % SEVERAL == 0, 2 + h("more") % 4).otherwise(1)
+    each = spark.range(pages_n).withColumns({"platform": _pick(PLATFORMS, "page platform", seed), "k": F.explode(F.sequence(F.lit(0), (more - 1).cast("int")))})
+    feed = F.pmod(F.xxhash64(F.lit(seed), "id") + F.col("k"), F.lit(max(1, feeds_n)))
+    site = F.concat(F.lit("host"), F.floor(F.col("id") / PER_SITE).cast("string"), F.lit(".example.com"))
+    both = F.array(F.lit("alternate"), F.lit("feed"))
+    return each.select(
+        F.concat(F.lit("https://"), site, F.lit("/p/"), F.col("id")).alias("page_url"), F.concat(F.lit("site"), (F.col("id") % 997).cast("string"), F.lit(".com")).alias("site"),
+        F.concat(F.lit("https://site"), feed.cast("string"), F.lit(".example.com/feed")).alias("feed_url"), F.when(h("rel") < 9_000, F.array(F.lit("alternate"))).otherwise(both).alias("rels"),
+        F.lit("application/rss+xml").alias("type"), F.concat(F.lit("Feed "), feed.cast("string")).alias("title"), F.lit("").alias("hreflang"), F.array_compact(F.array("platform")).alias("fingerprints"),
+    )
+
+
+def pages(spark: SparkSession, announced: DataFrame, silent: int, seed: int = 42) -> DataFrame:
+    """Rows of operators.pages.described(): the pages of links, and so many without any."""
+    known = announced.groupBy(F.col("page_url").alias("url")).agg(F.first("fingerprints").alias("fingerprints")).withColumn("has_links", F.lit(True))
+    rest = spark.range(silent).select(F.concat(F.lit("https://quiet"), F.col("id"), F.lit(".example.net/")).alias("url"), F.array_compact(F.array(_pick(PLATFORMS, "quiet", seed))).alias("fingerprints"), F.lit(False).alias("has_links"))
+    return known.unionByName(rest)
+
+
+def counters(described: DataFrame, all_feeds: DataFrame, now: Column) -> DataFrame:
+    """One row as of operators.routing.counters()."""
+    html = described.agg(F.count(F.lit(1)).alias("html_pages"))
+    sniffed = F.array_contains("candidate_sources", "sniffed")
+    found = all_feeds.agg(F.count(F.when(~sniffed, 1)).alias("feed_responses"), F.count(F.when(sniffed, 1)).alias("feeds_sniffed"), F.countDistinct("url").alias("sites"))
+    both = html.crossJoin(found)  # one row each
+    whole = F.col("html_pages") + F.col("feed_responses") + F.col("feeds_sniffed")
+    return both.select(whole.alias("responses_processed"), whole.alias("pages_processed"), "html_pages", "feed_responses", "feeds_sniffed", "sites", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("max_crawl_time"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import content, dates, platforms, text
 from ..functions.url import normalize_url, normalize_url_for_grouping
-from .feed_parser import parsed
+from .feed_parser import epoch, parsed
 
 PAGING, ARCHIVE = ("first", "last", "next", "prev", "previous"), ("current", "next-archive", "prev-archive")
 
@@ -25,6 +26,16 @@ def answered(status: Column) -> Column:
     return F.coalesce(status.between(200, 399), F.lit(False))
 
 
+def free_form_time(date: Column) -> Column:
+    """A date in a free form, UTC if it names no zone; only dates that Spark can't read reach Python."""
+
+    @F.pandas_udf("long")
+    def seconds(texts: pd.Series) -> pd.Series:
+        return pd.Series([epoch(x) for x in texts], dtype="Int64")
+
+    return F.timestamp_seconds(seconds(F.when(F.try_to_timestamp(date).isNull(), date)))
+
+
 def records(responses: DataFrame, now: Column) -> DataFrame:
     """One row of schema.FEEDS for each response: what its status, headers and bytes say. `now` stands in for a missing date.
 
@@ -39,7 +50,7 @@ def records(responses: DataFrame, now: Column) -> DataFrame:
     p = lambda name: F.when(valid, F.col(f"parsed.{name}"))
     kind = platforms.header(F.col("http_headers"), "content-type")
     http_lang = F.lower(F.trim(F.substring_index(platforms.header(F.col("http_headers"), "content-language"), ",", 1)))
-    at = dates.request_time(F.col("warc_date"), now)
+    at = dates.request_time(F.col("warc_date"), F.coalesce(free_form_time(F.col("warc_date")), now))
     links = F.transform(_list("parsed.entry_links"), lambda x: normalize_url_for_grouping(x))
     titles = F.transform(_list("parsed.entry_titles"), lambda x: text.entry_title(x))
     by_title, by_link = text.repeats(titles), text.repeats(links)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import content, platforms
-from ..functions.url import normalize_url, site
+from ..functions.url import normalize_url
+from .sites import with_site
 
-#: Both must be in a page before it's tokenised.
+#: Fixed values, since they decide which pages are looked into: both must be in a page before it's tokenised.
 LINKED = r"(?i)<link\s+[^>]*rel\s*=\s*[\"'][^\"']*(alternate|feed)[^\"']*[\"'][^>]*>"
 TYPED = r"(?i)type\s*=\s*[\"']application/(rss\+xml|atom\+xml|rdf\+xml)(\s*;[^\"']*)?[\"']"
 
@@ -61,7 +62,7 @@ def likely(html: Column) -> Column:
     return F.coalesce(text.rlike(LINKED) & text.rlike(TYPED), F.lit(False))
 
 
-def links(pages: DataFrame, prefilter: bool = True) -> DataFrame:
+def links(pages: DataFrame, prefilter: bool = True, suffixes: DataFrame | None = None) -> DataFrame:
     """page_url, site, feed_url, rels, type, title, hreflang, fingerprints: a row for each occurrence of a link.
 
     pages: url, html (binary). Python gets only pages that pass the test of bytes, and those two columns.
@@ -70,7 +71,7 @@ def links(pages: DataFrame, prefilter: bool = True) -> DataFrame:
     own = pages.select(F.col("url").alias("page_url"), html.alias("html"))
     own = own.filter(likely(F.col("html"))) if prefilter else own
     each = own.select("page_url", platforms.of_html(F.col("html")).alias("fingerprints"), F.explode(_extracted(F.col("page_url"), F.col("html"))).alias("link"))
-    return each.select("page_url", site(F.col("page_url")).alias("site"), normalize_url(F.col("link.feed_url")).alias("feed_url"), "link.rels", "link.type", "link.title", "link.hreflang", "fingerprints")
+    return with_site(each, F.col("page_url"), suffixes).select("page_url", "site", normalize_url(F.col("link.feed_url")).alias("feed_url"), "link.rels", "link.type", "link.title", "link.hreflang", "fingerprints")
 
 
 def described(pages: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import content, platforms
-from ..functions.url import normalize_url, site
+from ..functions.url import normalize_url
 from ..plans.quality import count_if
+from .sites import with_site
 
 
-def scoped(responses: DataFrame, top_sites: DataFrame | None, limit: int = 1_000_000) -> DataFrame:
+def scoped(responses: DataFrame, top_sites: DataFrame | None, limit: int = 1_000_000, suffixes: DataFrame | None = None) -> DataFrame:
     """Responses with a URL, on one of the top sites if there are any given; a site that is empty is out.
 
-    The site list is broadcast up to `limit` rows, and shuffled beyond.
+    The site list is broadcast up to `limit` rows, and shuffled beyond. Sites come from a table of suffixes if one is given.
     """
-    rows = responses.filter(F.coalesce("url", F.lit("")) != "").withColumn("site", site(F.col("url")))
+    rows = with_site(responses.filter(F.coalesce("url", F.lit("")) != ""), F.col("url"), suffixes)
     if top_sites is None:
         return rows
     own = top_sites.select("site").filter(F.col("site") != "").distinct()
@@ -23,7 +24,7 @@ def scoped(responses: DataFrame, top_sites: DataFrame | None, limit: int = 1_000
     return rows.join(F.broadcast(own) if small else own, "site", "left_semi")
 
 
-def routed(responses: DataFrame) -> DataFrame:
+def routed(responses: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """responses with site, content_type, sniffed and route.
 
     route: html (any status, first bytes alone), feed (by media type) or sniffed (by first bytes), both with status 200;
@@ -31,7 +32,7 @@ def routed(responses: DataFrame) -> DataFrame:
     responses, or by their payload type or media type.
     """
     kind = platforms.header(F.col("http_headers"), "content-type")
-    rows = responses if "site" in responses.columns else responses.withColumn("site", site(F.col("url")))
+    rows = responses if "site" in responses.columns else with_site(responses, F.col("url"), suffixes)
     rows = rows.withColumns({"content_type": content.media_type(kind), "_kind": kind})
     answered = F.col("record_type") == "response"
     paid = content.is_interesting_payload(F.col("payload_type"))

@@ -10,7 +10,7 @@ from ..functions.url import normalize_url_for_grouping
 from .distributions import discovery_histogram
 from .quality import count_if, high
 
-#: Pages with several feeds that are kept as a sample, and rows of the report's tables.
+#: Pages with several feeds of a sample, and rows of the report's tables.
 SAMPLE, ROWS, PAIRS = 10_000, 15, 10
 
 
@@ -88,23 +88,27 @@ def platform_table(pages: DataFrame, limit: int = ROWS) -> DataFrame:
     return rows.withColumn("pct", text.percent(F.col("auto_pages"), F.col("pages"))).orderBy(F.desc("pages"), "label").limit(limit)
 
 
-def several(links: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """page_url, feeds: pages that announce several feeds; a sample by hash of the page where there are more."""
+def several(links: DataFrame, limit: int | None = None) -> DataFrame:
+    """page_url, feeds: pages that announce several feeds; with a limit a sample of so many, by hash of the page.
+
+    A page's feeds are bounded by the bytes of a page that are read.
+    """
     pages = links.groupBy("page_url").agg(F.array_sort(F.collect_set("feed_url")).alias("feeds")).filter(F.size("feeds") > 1)
-    return pages.orderBy(F.xxhash64("page_url"), "page_url").limit(limit)
+    return pages if limit is None else pages.orderBy(F.md5("page_url"), "page_url").limit(limit)
 
 
 def same_feeds(pages: DataFrame, feeds: DataFrame) -> DataFrame:
-    """page_url, link, title, copies, formats: feeds of a page that share a link (without query) and a title.
+    """page_url, link, title, copies, formats (format, n): feeds of a page that share a link (without query) and a title.
 
-    Feeds without both, and URLs that aren't among feeds, are left out.
+    Feeds without both, and URLs that aren't among feeds, are left out. Links are normalised once, before they meet
+    pages; formats are counted, so that a group has a row for each of them at most.
     """
-    each = pages.select("page_url", F.explode("feeds").alias("url")).distinct()
-    link = F.when(F.coalesce("link", F.lit("")) != "", normalize_url_for_grouping(F.col("link")))
-    own = feeds.select("url", link.alias("link"), text.entry_title(F.col("title")).alias("title"), F.coalesce("format", F.lit("unknown")).alias("format"))
-    own = own.filter(F.col("link").isNotNull() | (F.col("title") != ""))
-    met = each.join(own, "url")
-    return met.groupBy("page_url", "link", "title").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list("format")).alias("formats")).filter("copies > 1")
+    each = pages.select("page_url", F.explode("feeds").alias("url"))
+    link, title = F.coalesce("link", F.lit("")), text.entry_title(F.col("title"))
+    own = feeds.filter((link != "") | (title != "")).select("url", F.when(link != "", normalize_url_for_grouping(F.col("link"))).alias("link"), title.alias("title"), F.coalesce("format", F.lit("unknown")).alias("format"))
+    met = each.join(own, "url").groupBy("page_url", "link", "title", "format").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.array_sort(F.collect_list(F.struct("format", "n"))).alias("formats")
+    return met.groupBy("page_url", "link", "title").agg(F.sum("n").alias("copies"), counted).filter("copies > 1")
 
 
 def duplicate_pages(pages: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -114,13 +118,11 @@ def duplicate_pages(pages: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def format_pairs(pages: DataFrame, feeds: DataFrame, limit: int = PAIRS) -> DataFrame:
     """Pairs of formats among the copies of a feed on a page, every two of them, by counts of formats: no pairs of rows."""
-    groups = same_feeds(pages, feeds)
-    counts = F.transform(F.array_distinct("formats"), lambda f: F.struct(f.alias("f"), F.size(F.filter("formats", lambda g: g == f)).cast("long").alias("n")))
-    each = groups.select(counts.alias("c")).select(F.explode(F.transform("c", lambda x, i: F.struct(x.alias("x"), F.slice("c", i + 1, F.size("c")).alias("rest")))).alias("p"))
-    each = each.select("p.x", F.explode("p.rest").alias("y"))
-    n = F.when(F.col("x.f") == F.col("y.f"), F.expr("x.n * (x.n - 1) div 2")).otherwise(F.col("x.n") * F.col("y.n"))
-    rows = each.select(F.concat("x.f", F.lit(" and "), "y.f").alias("pair"), n.alias("n")).groupBy("pair").agg(F.sum("n").alias("n"))
-    return rows.filter("n > 0").orderBy(F.desc("n"), "pair").limit(limit)
+    paired = F.flatten(F.transform("formats", lambda x, i: F.transform(F.slice("formats", i + 1, F.size("formats")), lambda y: F.struct(
+        F.concat(x["format"], F.lit(" and "), y["format"]).alias("pair"),
+        F.when(x["format"] == y["format"], F.floor(x["n"] * (x["n"] - 1) / 2)).otherwise(x["n"] * y["n"]).cast("long").alias("n")))))
+    each = same_feeds(pages, feeds).select(F.explode(paired).alias("p")).select("p.*")
+    return each.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0").orderBy(F.desc("n"), "pair").limit(limit)
 
 
 def summary(links: DataFrame, html_pages: Column | int, sites_seen: Column | int, pages: DataFrame, feeds: DataFrame) -> DataFrame:

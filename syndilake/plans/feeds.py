@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import content, text
-from ..functions.url import site
+from ..operators.sites import with_site
 from .quality import _c, _some, count_if, high, usable
 
 #: Roots of documents that aren't feeds, listed one by one up to this many.
@@ -135,9 +135,9 @@ def sniffed(feeds: DataFrame) -> DataFrame:
     return spined(counted(own, family, "family"), ("rss", "atom", "other"), "family")
 
 
-def sites(feeds: DataFrame) -> DataFrame:
+def sites(feeds: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Distinct sites that host feeds."""
-    return feeds.select(site(F.col("url")).alias("site")).filter(F.col("site") != "").agg(F.countDistinct("site").alias("sites"))
+    return with_site(feeds.select("url"), F.col("url"), suffixes).filter(F.col("site") != "").agg(F.countDistinct("site").alias("sites"))
 
 
 def errors(feeds: DataFrame) -> DataFrame:

@@ -22,21 +22,21 @@ def kept(frame: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
-def staged(responses: DataFrame, top_sites: DataFrame | None, folder: str) -> DataFrame:
+def staged(responses: DataFrame, top_sites: DataFrame | None, folder: str, suffixes: DataFrame | None = None) -> DataFrame:
     """Routed responses as a table with a part for each route: the sources are read this once.
 
     Bodies are kept where something reads them: the first bytes of pages, all of feeds, nothing of the rest.
     """
-    routes = routing.routed(routing.scoped(responses, top_sites))
+    routes = routing.routed(routing.scoped(responses, top_sites, suffixes=suffixes))
     feed = F.when(F.col("route").isin("feed", "sniffed"), F.substring("body", 1, content.FEED_BYTES))
     body = F.when(F.col("route") == "html", F.substring("body", 1, content.HTML_BYTES)).otherwise(feed)
     return kept(routes.withColumn("body", body), f"{folder}/routes", by="route")
 
 
-def facts(routes: DataFrame, now: Column, folder: str) -> dict[str, DataFrame]:
+def facts(routes: DataFrame, now: Column, folder: str, suffixes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Writes and gives feeds (one for each URL), links, pages, page_types and counters of staged responses."""
     html = routing.html_pages(routes)
-    links = kept(pages.links(html), f"{folder}/links")
+    links = kept(pages.links(html, suffixes=suffixes), f"{folder}/links")
     return {
         "links": links,
         "pages": kept(pages.described(html, links), f"{folder}/pages"),
@@ -46,11 +46,11 @@ def facts(routes: DataFrame, now: Column, folder: str) -> dict[str, DataFrame]:
     }
 
 
-def report(tables_of: dict[str, DataFrame], heading: str, path: str) -> dict[str, str]:
+def report(tables_of: dict[str, DataFrame], heading: str, path: str, suffixes: DataFrame | None = None) -> dict[str, str]:
     """Writes HTML to a path and Markdown beside it; the newest crawl date stands for now."""
     counters = tables_of["counters"].first()
     now = F.to_timestamp(F.lit(counters["max_crawl_time"] or "1970-01-01T00:00:00Z"))
-    made = tables(*(tables_of[t] for t in ("feeds", "links", "pages")), now, tables_of["page_types"], counters["html_pages"], counters["sites"])
+    made = tables(*(tables_of[t] for t in ("feeds", "links", "pages")), now, tables_of["page_types"], counters["html_pages"], counters["sites"], suffixes)
     data = render.collected(made)
     made["scores"].unpersist()
     out = {path: render.page(heading, data), render.beside(path): render.markdown(heading, data)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import discovery, distributions, feeds, quality
 
 
-def tables(all_feeds: DataFrame, links: DataFrame, pages: DataFrame, now: Column, page_types: DataFrame | None = None, html_pages: int | None = None, sites_seen: int = 0) -> dict[str, DataFrame]:
+def tables(all_feeds: DataFrame, links: DataFrame, pages: DataFrame, now: Column, page_types: DataFrame | None = None, html_pages: int | None = None, sites_seen: int = 0, suffixes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every table of the report. all_feeds: schema.FEEDS, one row for each URL; links: operators.pages.links(); pages: described().
 
     The scored feeds are kept for all of them; call .unpersist() on the entry "scores" when done.
@@ -29,7 +29,7 @@ def tables(all_feeds: DataFrame, links: DataFrame, pages: DataFrame, now: Column
         "language_counts": feeds.by_language_count(valid),
         "errors": feeds.errors(all_feeds),
         "sniffed": feeds.sniffed(all_feeds),
-        "sites": feeds.sites(valid),
+        "sites": feeds.sites(valid, suffixes),
         "entry_recency": distributions.recency(feeds.with_entries(valid), "newest_entry_date", now),
         "feed_recency": distributions.recency(valid, "updated_date", now),
         "discovered_recency": distributions.recency(found, "newest_entry_date", now),

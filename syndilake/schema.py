@@ -12,10 +12,11 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-#: An HTTP response, from whatever source. `http_headers` has lower-case keys; `error` is set where reading failed.
+#: An HTTP response, from whatever source. `http_headers` has lower-case keys; `error` is set where reading failed,
+#: `truncated` where the body had more bytes than were kept.
 RESPONSES = _struct(
     record_type=_S, url=_S, warc_date=_S, payload_type=_S, http_status=_I, http_headers=T.MapType(_S, _S), body=T.BinaryType(),
-    warc_path=_S, offset=_L, candidate_source=_S, error=_S,
+    warc_path=_S, offset=_L, candidate_source=_S, error=_S, truncated=_B,
 )
 EXTENSION = _struct(ns=_S, local=_S)
 #: What is read off the bytes of a feed; everything else is computed by column expressions.

@@ -6,7 +6,9 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from typing import BinaryIO
 from xml.parsers import expat
 
 import pandas as pd
@@ -14,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.url import normalize_url, site
+from ..functions.url import normalize_url
+from ..operators.sites import with_site
+from . import stores
 
 
 def paths(spark: SparkSession, source: str, limit: int | None = None) -> DataFrame:
@@ -46,7 +50,7 @@ def subdomains_listed(flag: str | None) -> bool:
     return (flag or "").strip().lower() not in ("0", "false", "no", "standard")
 
 
-def top_sites(spark: SparkSession, csv: str, n: int | None = None) -> DataFrame:
+def top_sites(spark: SparkSession, csv: str, n: int | None = None, suffixes: DataFrame | None = None) -> DataFrame:
     """rank, site of the first n lines of rank,domain; lines without exactly two fields and domains without a site drop out.
 
     The cut is by line and comes before sites are made distinct, so that there may be fewer than n.
@@ -54,10 +58,62 @@ def top_sites(spark: SparkSession, csv: str, n: int | None = None) -> DataFrame:
     lines = spark.read.text(csv).select("value", F.monotonically_increasing_id().alias("pos"))
     lines = lines.orderBy("pos").limit(n) if n is not None else lines
     fields = F.split(F.trim("value"), ",", -1)
-    own = lines.filter(F.size(fields) == 2).select(F.get(fields, 0).try_cast("int").alias("rank"), site(F.get(fields, 1)).alias("site"))
+    own = lines.filter(F.size(fields) == 2).select(F.get(fields, 0).try_cast("int").alias("rank"), F.get(fields, 1).alias("domain"))
+    own = with_site(own, F.col("domain"), suffixes)
     return own.filter(F.col("site") != "").groupBy("site").agg(F.min("rank").alias("rank"))
 
 
+def list_name(subdomains: bool, normalised: bool) -> str:
+    """File name of a flavour of the top list: with subdomains or of registered domains alone, as it came or as sites."""
+    return f"top-{'subdomains' if subdomains else 'domains'}{'-sites' if normalised else ''}{'' if normalised else '.csv'}"
+
+
+def list_label(subdomains: bool) -> str:
+    return "with subdomains" if subdomains else "registered domains alone"
+
+
+def find_list(folders: list[str], subdomains: bool) -> tuple[str, bool] | None:
+    """The first list of a flavour in the folders, and whether it's of sites; lists of sites in any folder come first."""
+    for normalised in (True, False):
+        for folder in folders:
+            path = Path(folder) / list_name(subdomains, normalised)
+            if path.exists():
+                return str(path), normalised
+    return None
+
+
+def fetch_list(url: str, folder: str, subdomains: bool, opener: Callable[[str], BinaryIO] = stores.opened) -> str:
+    """The list's CSV in a folder; downloaded, and taken out of its archive, unless it's there."""
+    to = Path(folder) / list_name(subdomains, False)
+    if not to.exists():
+        to.parent.mkdir(parents=True, exist_ok=True)
+        part = to.with_suffix(".part")
+        archive = stores.download(url, str(part), opener)
+        body = Path(archive).read_bytes()
+        part.write_bytes(first_csv(body) if body[:2] == b"PK" else body)
+        part.replace(to)
+    return str(to)
+
+
+def cached_sites(spark: SparkSession, raw: str, folder: str, subdomains: bool, suffixes: DataFrame | None = None) -> DataFrame:
+    """pos, rank, site of the lines of a list, kept as a table in a folder; made anew if it's missing, older than the list, or has another number of lines."""
+    path = Path(folder) / list_name(subdomains, True)
+    lines = spark.read.text(raw).select("value", F.monotonically_increasing_id().alias("pos"))
+    done = path / "_SUCCESS"
+    if not done.exists() or done.stat().st_mtime < Path(raw).stat().st_mtime or spark.read.parquet(str(path)).count() != lines.count():
+        fields = F.split(F.trim("value"), ",", -1)
+        whole = F.size(fields) == 2
+        own = with_site(lines.withColumn("domain", F.when(whole, F.get(fields, 1))), F.col("domain"), suffixes)
+        own.select("pos", F.when(whole, F.get(fields, 0)).try_cast("int").alias("rank"), F.when(whole, F.col("site")).alias("site")).write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def first_sites(sites: DataFrame, n: int | None = None) -> DataFrame:
+    """rank, site of the first n lines of cached_sites(), as top_sites() has them."""
+    rows = sites.orderBy("pos").limit(n) if n is not None else sites
+    return rows.filter(F.coalesce("site", F.lit("")) != "").groupBy("site").agg(F.min("rank").alias("rank"))
+
+
 #: Markup of faulty XML: what is skipped, or a start tag whose attributes follow.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<([^\s<>/!?=\"'&]+)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s<>/=\"']+)\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s<>\"']+))|[\s/]*[^\s<>/]|[\s/]+")

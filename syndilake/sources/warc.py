@@ -1,11 +1,12 @@
-"""WARC files as schema.RESPONSES: a Python data source with a partition for each file, or any store through Spark.
+"""WARC files as schema.RESPONSES: a Python data source with a partition for each file, wherever `stores` reaches it, or
+any store through Spark.
 
-A reader holds one record at a time. Files that can't be read to their end give a row with `error` after their records.
+A reader streams a file and holds one record at a time, up to the bytes of a body that are kept; `truncated` says where a
+body had more. Files that can't be read to their end give a row with `error` after their records.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import zlib
 from collections.abc import Iterator
@@ -13,14 +14,16 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import schema
+from . import stores
 
-#: Longest body that is kept of a record.
-BODY_BYTES = 10 << 20
+#: Longest body that is kept of a record, if nothing else is asked for, and bytes for its HTTP headers.
+BODY_BYTES, HEAD_BYTES = 10 << 20, 1 << 20
 _FIELDS = schema.RESPONSES.fieldNames()
 
 
@@ -63,23 +66,33 @@ def _head(lines: BinaryIO) -> tuple[str, dict[str, str]]:
     return first, out
 
 
-def _http(block: bytes) -> tuple[int | None, dict[str, str] | None, bytes]:
+def _http(block: bytes, body_bytes: int) -> tuple[int | None, dict[str, str] | None, bytes, bool]:
+    """Status, headers, body and whether it was cut."""
     stream = io.BytesIO(block)
     first, headers = _head(stream)
     parts = first.split(None, 2)
     if len(parts) < 2 or not parts[0].startswith("HTTP/") or not parts[1].isdigit():
-        return None, None, b""
-    return int(parts[1]), headers, stream.read(BODY_BYTES)
+        return None, None, b"", False
+    return int(parts[1]), headers, stream.read(body_bytes), bool(stream.read(1))
 
 
-def records(stream: BinaryIO, path: str, responses_only: bool = True, limit: int | None = None) -> Iterator[dict]:
-    """Rows of a WARC, compressed or not; `limit` counts records of any type, as they are read."""
-    packed = stream.read(2) == b"\x1f\x8b"
-    stream.seek(0)
-    lines: BinaryIO = io.BufferedReader(_Unpacked(stream)) if packed else stream  # type: ignore[assignment]
+def _block(lines: BinaryIO, length: int, most: int) -> tuple[bytes, bool]:
+    """The first bytes of a record's block, and whether there are more, which are passed over."""
+    kept = lines.read(min(length, most))
+    left = length - len(kept) if len(kept) == min(length, most) else 0
+    while left > 0 and (data := lines.read(min(left, 1 << 20))):
+        left -= len(data)
+    return kept, length > most
+
+
+def records(stream: BinaryIO, path: str, responses_only: bool = True, limit: int | None = None, body_bytes: int = BODY_BYTES) -> Iterator[dict]:
+    """Rows of a WARC, compressed or not; `limit` counts records of any type, as they are read. The stream is only read forwards."""
+    stream = io.BufferedReader(stream, 1 << 16) if not hasattr(stream, "peek") else stream  # type: ignore[arg-type]
     blank = dict.fromkeys(_FIELDS) | {"warc_path": path}
     seen = 0
     try:
+        packed = stream.peek(2)[:2] == b"\x1f\x8b"
+        lines: BinaryIO = io.BufferedReader(_Unpacked(stream)) if packed else stream  # type: ignore[assignment]
         while limit is None or seen < limit:
             first, headers = _head(lines)
             if not first:
@@ -88,15 +101,15 @@ def records(stream: BinaryIO, path: str, responses_only: bool = True, limit: int
                 return
             if not first.startswith("WARC/"):
                 raise ValueError("not a WARC record")
-            block = lines.read(int(headers.get("content-length", 0)))
+            block, cut = _block(lines, int(headers.get("content-length", 0)), body_bytes + HEAD_BYTES)
             lines.readline()
             lines.readline()
             kind = headers.get("warc-type")
             row = blank | {"record_type": kind, "url": headers.get("warc-target-uri", "").strip("<>") or None, "warc_date": headers.get("warc-date"), "payload_type": headers.get("warc-identified-payload-type"), "offset": seen}
             seen += 1
             if kind == "response":
-                status, http_headers, body = _http(block)
-                yield row | {"http_status": status, "http_headers": list((http_headers or {}).items()) if http_headers is not None else None, "body": body}
+                status, http_headers, body, more = _http(block, body_bytes)
+                yield row | {"http_status": status, "http_headers": list((http_headers or {}).items()) if http_headers is not None else None, "body": body, "truncated": cut or more}
             elif not responses_only:
                 yield row
     except (OSError, EOFError, ValueError, zlib.error) as broken:
@@ -118,25 +131,26 @@ def batches(rows: Iterator[dict], at_once: int = 8 << 20) -> Iterator[pa.RecordB
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.options = options
+        self.store = {k: options[k] for k in ("region", "endpoint") if options.get(k)} | ({"anonymous": True} if options.get("anonymous") == "true" else {})
 
     def partitions(self) -> list[InputPartition]:
-        paths = [p for part in self.options.get("path", "").split(",") for p in sorted(glob.glob(part)) or [part] if p]
-        return [InputPartition(p) for p in paths]
+        named = [p for p in self.options.get("path", "").split(",") if p]
+        return [InputPartition(p) for part in named for p in stores.listed(part, **self.store)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        limit = self.options.get("limit_records")
+        limit, most = self.options.get("limit_records"), int(self.options.get("body_bytes") or BODY_BYTES)
         path = partition.value
         try:
-            stream = open(path, "rb")  # noqa: SIM115
+            stream = stores.opened(path, **self.store)
         except OSError as missing:
             yield from batches(iter([dict.fromkeys(_FIELDS) | {"warc_path": path, "error": type(missing).__name__}]))
             return
         with stream:
-            yield from batches(records(stream, path, self.options.get("responses_only", "true") == "true", int(limit) if limit else None))
+            yield from batches(records(stream, path, self.options.get("responses_only", "true") == "true", int(limit) if limit else None, most))
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc"): options path (globs, by commas), limit_records (of each file), responses_only."""
+    """spark.read.format("warc"): options path (patterns, by commas), limit_records (of each file), responses_only, body_bytes; for S3 region, endpoint, anonymous."""
 
     @classmethod
     def name(cls) -> str:
@@ -150,9 +164,31 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """WARC files on disks that all executors see; one task streams one file."""
+    """WARC files on disks that all executors see, or behind http, https, s3, gs and hdfs URIs; one task streams one file."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").options(path=path, **{k: str(v) for k, v in options.items()}).load()
+    said = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
+    return spark.read.format("warc").options(path=path, **said).load()
+
+
+def read_warcs(spark: SparkSession, paths: DataFrame, **options: object) -> DataFrame:
+    """WARC files that a table of paths (path) names, of any length: the list stays distributed, a file is one row's work."""
+    most, limit = int(options.pop("body_bytes", None) or BODY_BYTES), options.pop("limit_records", None)
+    only = bool(options.pop("responses_only", True))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for path in batch.column(0).to_pylist():
+                try:
+                    stream = stores.opened(path, **options)
+                except OSError as missing:
+                    yield from batches(iter([dict.fromkeys(_FIELDS) | {"warc_path": path, "error": type(missing).__name__}]))
+                    continue
+                with stream:
+                    yield from batches(records(stream, path, only, limit, most))
+
+    tasks = paths.select("path").filter(F.coalesce("path", F.lit("")) != "")
+    n = max(1, min(tasks.count(), 100_000))
+    return tasks.repartitionByRange(n, "path").mapInArrow(run, schema.RESPONSES)
 
 
 def read_warc_store(spark: SparkSession, path: str, limit_records: int | None = None) -> DataFrame:
