@@ -83,8 +83,8 @@ def test_trees_against_whole_recounts(encoding):
             a = min(max(0, a), len(text))
             b = min(max(a, b), len(text))
             text = text[:a] + new + text[b:]
-        assert "".join(tree.parts) == text
-        assert tree.tokens[1] == len(encoding.encode_ordinary(text))
+        assert tree.text == text
+        assert tree.n_tokens == len(encoding.encode_ordinary(text))
 
 
 def test_media_round_trip(docs, empty):
