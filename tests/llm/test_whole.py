@@ -8,8 +8,12 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from syndilake.llm import chat, media, mixing, pii, resemblance, secrets, simhash, toxicity
+from syndilake.llm import bpe, chat, media, mixing, pii, resemblance, secrets, simhash, tokens, toxicity
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def sets_of(text):
@@ -60,6 +64,48 @@ def test_near_dedup_stage_by_jaccard_of_five_words(spark):
     assert resemblance.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_different_texts_with_one_id_stay(spark):
+    """Rows with an id of their own or not: only copies go, whatever their ids."""
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(5_000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(1, text[0], "a", "s", 1), (1, text[1], "a", "s", 1), (1, text[1], "a", "s", 1), (1, text[1], "b", "s", 1), (2, text[1], "a", "s", 1), (2, text[2], None, None, None), (3, text[0] + " x", "a", "s", 1), (4, None, "a", "s", 1), (5, "", "a", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("first", F.lit("x")).withColumn("mark", F.lit(1))
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[1], rows[5], rows[7]])
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, empty texts, clashing names: each stage accounts for every row."""
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (1, "mail me at jo@ex.com now", "en", None, 3), (2, "plain words here", None, "s", None)]
+    names = ("_row", "whole", "rows", "_terms", "score", "predicted", "doc")
+    frame = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit("x") for n in names})
+    assert Counter(map(tuple, corpus_pipeline.toxic(spark, frame, SMALL).collect())) == Counter(odd)
+    clean = Counter(map(tuple, corpus_pipeline.personal_data(spark, frame, "").collect()))
+    assert sum(clean.values()) == len(odd) and clean[1, "mail me at [EMAIL] now", "en", None, 22] == 1 and clean[None, None, None, None, None] == 2
+    mixed = corpus_pipeline.mix(spark, frame, "").collect()
+    assert {tuple(r) for r in mixed} <= set(odd) and all(r.text for r in mixed)
+    assert Counter(r.doc_id for r in corpus_pipeline.encode(spark, frame, "").collect()) == Counter(r[0] for r in odd)
+
+
+def test_links_of_a_group_in_parts(spark, monkeypatch):
+    """A group of more shingles than one task compares gives the same components."""
+    texts = near_copies() + [" ".join(f"x{k}" for k in range(200))]
+    sets, want = [resemblance.shingles(t) for t in texts], brute_groups(texts)
+    rows = [(7, k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)] + [(9, 1_000 + k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets[:3])]
+    frame = spark.createDataFrame(rows, "key long, node long, size long, shingles binary")
+    for group in (1 << 21, 2_000, 200):
+        monkeypatch.setattr(resemblance, "GROUP", group)
+        found = {r.node: r.component for r in resemblance.components(resemblance.group_links(frame)).collect()}
+        label = {}
+        for k, w in enumerate(want):
+            assert label.setdefault(w, found.get(k, k)) == found.get(k, k)
+        assert len(set(label.values())) == len(set(want))
+    assert resemblance.group_links(frame.limit(0)).count() == 0
+
+
 def test_links_of_a_candidate_group():
     texts = near_copies()
     want, sets = brute_groups(texts), [resemblance.shingles(t) for t in texts]
@@ -262,3 +308,115 @@ def test_chunks_of_many_files_are_handed_out(spark, monkeypatch):
     levels = {r.doc_id: r.feature for r in media.described(frame).collect() if r.doc_id in (5,)}
     own = media.payload(rows[5][1])
     assert f"n={len(own)};min={min(own)};max={max(own)};sum={sum(own)};crossings=0;distinct={len(set(own))}" in levels[5]
+
+
+def test_edits_of_long_texts_stay_local():
+    """Insertions at one place split blocks instead of filling them; every state equals a whole count."""
+    coder, rng = bpe.Vocabulary(*bpe.default()), random.Random(11)
+    parts = ["word", " and", " more", "\n", "  ", " it's", " don't", "123", " 日本語", "!?", " \n\n", "é"]
+    text = "".join(rng.choice(parts) for _ in range(3_000))
+    (tree,) = tokens.Shapes(coder).trees([text])
+    done = 0
+    for k in range(120):
+        a = 5_000 + k if k < 60 else rng.randrange(len(text))
+        b = a + rng.choice([0, 0, 1, 30])
+        new = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        tree.edit((a, b, new), coder)
+        text = text[:a] + new + text[b:]
+        if k % 10 == 0:
+            (whole,) = tokens.Shapes(coder).trees([text])
+            assert tree.text == text and tree.n_tokens == whole.n_tokens
+            assert [c for x in tree.chars for c in x] == [c for x in whole.chars for c in x]
+            tree = tokens.Tree.load(tree.dump())
+        assert max(map(len, tree.chars)) <= 2 * tokens.FILL
+        assert tree.recounted - done <= 12 + 10 + 12
+        done = tree.recounted
+
+
+def test_trees_are_kept_and_take_later_edits(spark):
+    path, pattern = bpe.default()
+    rows = [(1, "some text here " * 50, [(3, 9, "new")], [(0, 1, "")]), (1, "", [], [(0, 0, "x y")]), (None, None, None, [(5, 9, " z")]), (2, "plain", [None], None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, one array<struct<start:int,stop:int,new:string>>, two array<struct<start:int,stop:int,new:string>>")
+    stored = tokens.trees(frame.filter("text like 'some%'"), path, pattern).withColumn("edits", F.expr("array(named_struct('start', 3, 'stop', 9, 'new', 'new'))"))
+    once = tokens.edited(stored, path, pattern).withColumn("edits", F.expr("array(named_struct('start', 0, 'stop', 1, 'new', ''))"))
+    (got,) = tokens.edited(once, path, pattern).collect()
+    text = rows[0][1]
+    text = (text[:3] + "new" + text[9:])[1:]
+    coder = bpe.Vocabulary(path, pattern)
+    assert tokens.Tree.load(got.tree).text == text and got.n_tokens == sum(tokens.sizes(coder, coder.pattern.findall(text)))
+    nothing = tokens.trees(frame, path, pattern)
+    assert Counter((r.doc_id, r.n_tokens > 0) for r in nothing.collect()) == Counter([(1, True), (1, False), (None, False), (2, True)])
+
+
+def brute_chat(calls, results):
+    """(conv, id, turn, level, status, copies, results) of every row, from the rules alone."""
+    out, asked, said = Counter(), {}, {}
+    for c in calls:
+        (call_id, conv, turn, *_) = c
+        if None in (call_id, conv):
+            out[conv, call_id, turn, 0, "unanswered", 1, 0] += 1
+        else:
+            asked.setdefault((conv, call_id), Counter())[c] += 1
+    for r in results:
+        call_id, conv, turn, _ = r
+        if None in (call_id, conv):
+            out[conv, call_id, turn, 0, "orphan", 0, 1] += 1
+        else:
+            said.setdefault((conv, call_id), Counter())[r] += 1
+    low = lambda row, k: tuple((x is not None, x) if x is not None else (False, 0) for x in row[k:])
+    first = {key: min(own, key=lambda c: low(c, 2)) for key, own in asked.items()}
+
+    def level(key):
+        steps, at, seen = 0, key, set()
+        while True:
+            after = (at[0], first[at][5])
+            if first[at][5] is None or after not in first:
+                return steps
+            if at in seen:
+                return -1
+            seen.add(at)
+            at, steps = after, steps + 1
+
+    for key, own in asked.items():
+        answers = said.get(key, {})
+        answer = min(answers, key=lambda r: low(r, 2), default=None)
+        for c, n in own.items():
+            if c == first[key]:
+                out[*key, c[2], level(key), "linked" if answer else "unanswered", n, answers[answer] if answer else 0] += 1
+            else:
+                out[*key, c[2], 0, "repeated", n, 0] += 1
+    for key, answers in said.items():
+        answer = min(answers, key=lambda r: low(r, 2))
+        for r, n in answers.items():
+            if r != answer or key not in asked:
+                out[*key, r[2], 0, "orphan" if r == answer else "repeated", 0, n] += 1
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    """Identifiers that conversations share, repeats, cycles, nulls."""
+    rng = random.Random(21)
+    some = lambda *x: rng.choice(x)
+    calls = [(some("call_1", "a", "b", "c", "d", None), some(1, 2, 3, 3, None), rng.randint(0, 2), some("t", None), some('{"x": 1}', '{"x": 2}', "no", None), some("call_1", "a", "b", "c", "zz", None)) for _ in range(160)]
+    results = [(some("call_1", "a", "b", "e", None), some(1, 2, 3, None), rng.randint(0, 1), some("one", "two", None)) for _ in range(90)]
+    a = spark.createDataFrame(calls, "call_id string, conv_id long, turn long, name string, arguments string, after string")
+    b = spark.createDataFrame(results, "call_id string, conv_id long, turn long, text string")
+    got = chat.link(a, b, {"t": {"type": "object"}}).collect()
+    assert Counter((r.conv_id, r.call_id, r.turn, r.level, r.status, r.copies, r.results) for r in got) == brute_chat(calls, results)
+    assert sum(r.copies for r in got) == 160 and sum(r.results for r in got) == 90
+    assert all(json.loads(r.line)["id"] == r.call_id for r in got)
+
+
+def test_chat_arguments_that_no_job_should_die_of(spark):
+    """Numbers and depths beyond JSON readers, lone surrogates, lists of types, true where 1 is asked."""
+    schema = {"t": {"type": "object", "properties": {"x": {"type": ["string", "null"]}, "n": {"enum": [1, [True]]}, "odd": {"type": "no-such"}}}}
+    texts = ['{"x":1e999}', '{"x":"\\ud800","\\udfff":1}', '{"x":null}', '{"x":"s"}', '{"x":1}', '{"n":true}', '{"n":1.0}', '{"n":[true]}', '{"n":[1]}', "[" * 100_000, "1" * 10_000, '{"odd":1}', "NaN"]
+    rows = [(f"c{k}", 1, k, "t", x, None) for k, x in enumerate(texts)]
+    a = spark.createDataFrame(rows, "call_id string, conv_id long, turn long, name string, arguments string, after string")
+    b = spark.createDataFrame([], "call_id string, conv_id long, turn long, text string")
+    got = {r.turn: r for r in chat.link(a, b, schema).collect()}
+    assert len(got) == len(texts)
+    assert [got[k].faults for k in (0, 9, 10, 12)] == ["not JSON"] * 4
+    assert [got[k].faults for k in (1, 2, 3, 6, 7)] == [""] * 5
+    assert got[4].faults == "$.x: not of type string or null" and got[5].faults == got[8].faults == "$.n: not in enum" and got[11].faults == "$.odd: not of type no-such"
+    assert "\\ud800" in got[1].line and json.loads(got[1].line)["arguments"]["x"] == "\ud800"
