@@ -21,33 +21,50 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine predicts as toxic go; it learns from the labels of the table itself."""
+    """Documents that the factorization machine predicts as toxic go; it learns from the labels of the table itself.
+
+    Every row is judged for itself: repeated rows and ids go or stay together if their texts are alike, null and empty
+    texts are no terms, null ids have no label. An empty table gives no rows. Only the columns of documents stay.
+    """
     ship(spark)
     rated = toxicity.score(docs.select(*COLUMNS), toxicity.train(docs, table(spark, sf_dir, "labels")))
     return rated.filter(F.col("predicted") == 0).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates its smallest doc_id stays, one row of it if that repeats; rows without a doc_id stay.
+    """Of each group of near-duplicates its smallest doc_id stays; rows without a doc_id stay.
 
-    Near-duplicates have 0.8 or more of their five-word shingles in common, by exact comparison (Jaccard), or are linked by such.
+    Near-duplicates have 0.8 or more of their five-word shingles in common, by exact comparison (Jaccard), or are linked by
+    such. Different texts with one doc_id are different documents; of rows that are alike in both, the first by the other
+    columns stays. Null and empty texts are copies of each other. An empty table gives no rows.
     """
     ship(spark)
-    found = resemblance.near_duplicates(docs)
-    kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    first = docs.select(*COLUMNS).filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    found = resemblance.near_duplicates(docs).filter(F.col("first") & F.col("doc_id").isNotNull())
+    kept = cut(found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_taken")).agg(F.count(F.lit(1)).alias("_rows")))
+    own = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text"))
+    met = own.filter(F.col("doc_id").isNotNull()).join(kept, (F.col("_mark") == F.col("_taken")) & (F.col("doc_id") == F.col("_id")))
+    out = met.filter("_rows = 1").select(*COLUMNS)
+    if kept.filter("_rows > 1").limit(1).count():
+        out = out.unionByName(met.filter("_rows > 1").groupBy("doc_id", "_mark").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*"))
+    return out.unionByName(own.filter(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked, and terms that reveal it generalised or removed; n_chars is that of the new text."""
+    """Personal data is masked, and terms that reveal it generalised or removed; n_chars is that of the new text.
+
+    Every row stays, also those that repeat or have no id; null texts stay null. An empty table gives no rows.
+    """
     ship(spark)
     clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays in as many whole copies as the mix takes of it, rounded: 0, 1 or 2; so does a row without a doc_id."""
+    """A document stays in as many whole copies as the mix takes of it, rounded: 0, 1 or 2; so does a row without a doc_id.
+
+    Rows that repeat are documents each; null sources are a source; texts without words aren't taken. An empty table gives
+    no rows.
+    """
     ship(spark)
     row = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
     own = docs.select(*COLUMNS).withColumn("_row", row)
@@ -61,7 +78,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy; null texts count as empty, an empty table gives no rows."""
     ship(spark)
     return bpe.digests(docs, *bpe.default())
 
