@@ -2,7 +2,8 @@
 
 Vectors of length one are cut into halves, and each half gets its own centroids; a vector lies in the cell of its
 pair of centroids. A query walks over pairs by the sum of the two squared distances, with a heap, until the cells that
-it has seen hold a given part of the index; the entries of those cells are ranked exactly. Cells with the same first
+it has seen hold a part of the index; the entries of those cells are ranked exactly. How large a part is measured on the
+sample that the centroids are fitted to: as much as ASKED of its vectors need to see RECALL of their true neighbours. Cells with the same first
 centroid are stored together, in blocks of BLOCK entries, so that a large cell is spread over tasks. A query is sent
 once to each block with a cell that it has seen.
 """
@@ -22,9 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import cut, mapped, table
 
 #: Vectors that the centroids are fitted to, the first by hash of their id; entries of a cell on average, and most
-#: centroids of each half; part of the index that a query sees, larger cells counting as 1 / EVEN of the index; entries
-#: of a block; neighbours of a query.
-SAMPLE, CELL, CENTROIDS, SEEN, EVEN, BLOCK, TOP = 20_000, 32, 128, 0.55, 64, 4_096, 5
+#: centroids of each half; cells that hold more than 1 / EVEN of the index count as that much of it; entries of a block;
+#: neighbours of a query.
+SAMPLE, CELL, CENTROIDS, EVEN, BLOCK, TOP = 20_000, 32, 128, 64, 4_096, 5
+#: Vectors of the sample whose neighbours are looked for, and the part of them that is to be seen.
+ASKED, RECALL = 400, 0.96
 
 
 def usable(vector: Column) -> Column:
@@ -65,6 +68,26 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: float)
     return out
 
 
+def needed(points: np.ndarray, first: np.ndarray, second: np.ndarray, half: int, counted: np.ndarray, top: int, recall: float = RECALL) -> float:
+    """The part of the index that the first ASKED points must see to find that part of their neighbours among the points."""
+    queries = points[:ASKED]
+    if len(points) < 2:
+        return 1.0
+    a, b = distances(points[:, :half], first).argmin(1), distances(points[:, half:], second).argmin(1)
+    scores = queries @ points.T
+    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    k = min(top, len(points) - 1)
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    sums = distances(queries[:, :half], first)[:, :, None] + distances(queries[:, half:], second)[:, None, :]
+    parts = []
+    for q, cells in enumerate(sums.reshape(len(queries), -1)):
+        order = np.argsort(cells, kind="stable")
+        seen = np.empty(len(order))
+        seen[order] = np.cumsum(counted.ravel()[order])
+        parts.append(seen[a[near[q]] * len(second) + b[near[q]]])
+    return float(np.quantile(np.concatenate(parts), recall) / counted.sum())
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
@@ -85,9 +108,11 @@ def best(queries: np.ndarray, entries: np.ndarray, entry_ids: np.ndarray, open_:
             yield q, int(e), float(row[e])
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, seen: float = SEEN, n_centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, seen: float | None = None, n_centroids: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query row's nearest entries; seen=1 gives the exact ones.
 
+    seen: the part of the index that a query sees; by default what needed() measures.
+
     A query is taken for one row of the index, the one with its id and vector, which is not its neighbour; a second row
     like it is. Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do rows without an id or with another length than most vectors of the index. Query rows that repeat have
@@ -138,6 +163,8 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
         held[r.a, r.b] = r["count"]
     blocks = np.maximum(1, -(-held.sum(1) // BLOCK)).astype(int).tolist()
     counted = np.minimum(held, n // EVEN + 1)
+    if seen is None:
+        seen = needed(points, first, second, half, counted, top)
     enough = counted.sum() * seen if seen < 1 else np.inf
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from syndilake.llm import bpe, chat, media, mixing, pii, resemblance, secrets, simhash, tokens, toxicity
+from syndilake.llm import bpe, chat, media, mixing, neighbours, pii, resemblance, secrets, simhash, tokens, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -420,3 +420,23 @@ def test_chat_arguments_that_no_job_should_die_of(spark):
     assert [got[k].faults for k in (1, 2, 3, 6, 7)] == [""] * 5
     assert got[4].faults == "$.x: not of type string or null" and got[5].faults == got[8].faults == "$.n: not in enum" and got[11].faults == "$.odd: not of type no-such"
     assert "\\ud800" in got[1].line and json.loads(got[1].line)["arguments"]["x"] == "\ud800"
+
+
+def test_neighbours_in_clusters_need_little_of_the_index(spark):
+    """What a query sees follows the data: a small part of an index with clusters, with nine of ten neighbours found."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24)) * 3
+    x = np.concatenate([c + rng.normal(size=(60, 24)) for c in centres])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = unit[::50] @ unit.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), 50)] = -9
+    want = {(50 * q, int(i)) for q, row in enumerate(scores) for i in np.argsort(-row)[:5]}
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(frame, frame.filter("vec_id % 50 = 0")).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    k = round((len(x) / neighbours.CELL) ** 0.5)
+    first, second = neighbours.centroids(unit[:, :12], k), neighbours.centroids(unit[:, 12:], k)
+    a, b = neighbours.distances(unit[:, :12], first).argmin(1), neighbours.distances(unit[:, 12:], second).argmin(1)
+    held = np.zeros((k, k))
+    np.add.at(held, (a, b), 1)
+    assert neighbours.needed(unit, first, second, 12, held, 5) < 0.2
