@@ -62,9 +62,10 @@ def simple_histogram(rows: DataFrame, value: str, weight: str | None = None) ->
     """low, label, n of the bins that have rows; a bin is a tenth of the largest value wide."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
     each = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("long").alias("v")).agg(n.alias("n"))
-    width = F.greatest(F.lit(1), F.floor(F.max("v").over(Window.partitionBy()) / 10)).cast("long")
+    width = rows.agg(F.greatest(F.lit(1), F.floor(F.max(F.col(value).cast("long")) / 10)).cast("long").alias("_w"))
+    each = each.crossJoin(F.broadcast(width))  # one row
     low = (F.floor(F.col("v") / F.col("_w")) * F.col("_w")).cast("long")
-    each = each.withColumn("_w", width).withColumn("low", low).withColumn("_high", F.col("low") + F.col("_w") - 1)
+    each = each.withColumn("low", low).withColumn("_high", F.col("low") + F.col("_w") - 1)
     name = F.when(F.col("low") == F.col("_high"), F.col("low").cast("string"))
     name = name.when(F.col("_high") >= 1_024, F.concat(F.lit("-"), F.floor(F.col("_high") / 1_024).cast("string"), F.lit("k")))
     name = name.otherwise(F.concat(F.lit("-"), F.col("_high").cast("string")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import content, text
@@ -147,8 +147,8 @@ def errors(feeds: DataFrame) -> DataFrame:
     label = F.when(_c("error_type", "") != "", F.col("error_type")).when(F.col("error").isNotNull(), text.error_label(told)).otherwise(status)
     found = counted(feeds.filter(~usable()), label)
     root = F.col("label").startswith("Unknown root tag: ")
-    place = F.row_number().over(Window.partitionBy(root).orderBy(F.desc("n"), "label"))
-    kept = found.withColumn("folded", root & (place > ROOTS))
+    first = found.filter(root).orderBy(F.desc("n"), "label").limit(ROOTS).select("label", F.lit(False).alias("folded"))
+    kept = found.join(F.broadcast(first), "label", "left").withColumn("folded", root & F.coalesce("folded", F.lit(True)))  # ROOTS rows
     kept = kept.groupBy(F.when(F.col("folded"), "Other unknown root tags").otherwise(F.col("label")).alias("label"), "folded").agg(F.sum("n").alias("n"))
     return kept.select("label", "n", "folded").orderBy("folded", F.desc("n"), "label")
 

@@ -9,7 +9,7 @@ from ..functions.text import percent
 
 
 def nearest_rank(rows: DataFrame, value: str, p: int) -> DataFrame:
-    """The value at place n * p / 100, rounded down, from 1 on, in order: ranks by counts of values, no sort in one task."""
+    """The value at place n * p / 100, rounded down, from 1 on, in order: ranks by counts of values, over the files of a crawl."""
     each = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
     below = F.sum("c").over(Window.orderBy(value))
     whole = F.sum("c").over(Window.partitionBy())
