@@ -39,6 +39,12 @@ def scratch(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, in whatever store it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if a count proves that it's small; df must have rows of bounded width and a cut lineage."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
