@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syndilake.llm import bpe, mixing, pii, resemblance, toxicity
-from syndilake.llm.common import cut, scratch, table
+from syndilake.llm.common import cut, dropped, scratch, table
 from syndilake.ship import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -95,10 +95,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again."""
+    """STAGES applied to documents; each result is written as Parquet in the shared folder and read again.
+
+    A result is deleted once the next one is written; the last one stays, as the rows that are returned.
+    """
     docs = table(spark, sf_dir, "documents")
     to = f"{scratch(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
         docs = spark.read.parquet(f"{to}/{k}")
+        if k:
+            dropped(spark, f"{to}/{k - 1}")
     return docs
