@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .content import marked_head
+from .content import MARKED_BYTES, marked_head
 
 #: Fixed values. Patterns with a dot are found anywhere, others as words of a-z and 0-9.
 PATTERNS = {
@@ -53,9 +53,11 @@ def of_headers(headers: Column) -> Column:
 def of_html(html: Column) -> Column:
     """Labels by <meta name="generator"> in any order of attributes, and by bytes of the page's head."""
     head = marked_head(html)
-    tags = F.regexp_extract_all(head, F.lit(r"<meta\s+[^>]*>"), F.lit(0))
-    of_generators = F.filter(tags, lambda t: t.rlike(r"[\s'\"]name\s*=\s*['\"]generator['\"]"))
-    contents = F.transform(of_generators, lambda t: F.regexp_extract(t, r"[\s'\"]content\s*=\s*['\"]([^'\"]*)", 1))
+    behind = F.slice(F.split(head, r"<meta(?=\s)"), 2, MARKED_BYTES)
+    tags = F.transform(F.filter(behind, lambda t: t.contains(">")), lambda t: F.substring_index(t, ">", 1))
+    attribute = lambda t, name: F.regexp_extract(t, rf"(?<=[\s'\"]){name}\s*=\s*(?:'([^']*)'|\"([^\"]*)\")", 0)
+    value = lambda t, name: F.regexp_replace(attribute(t, name), r"^[^'\"]*['\"]|['\"]$", "")
+    contents = F.transform(F.filter(tags, lambda t: value(t, "name") == "generator"), lambda t: value(t, "content"))
     named = of_value(F.array_join(contents, "\n"))
     marked = {label: F.lit(False) for label in MARKERS}
     for label, parts in MARKERS.items():

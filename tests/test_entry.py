@@ -17,6 +17,14 @@ def test_without_the_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{':'.join(p for p in sys.path if 'site-packages' in p)}"})
 
 
+def test_every_module_without_the_operators(tmp_path):
+    """The library's other modules neither import the operators nor need them."""
+    shutil.copytree(REPO / "syndilake", tmp_path / "syndilake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    names = [".".join(p.relative_to(tmp_path).with_suffix("").parts) for p in sorted((tmp_path / "syndilake").rglob("*.py"))]
+    code = "import importlib\n" + "\n".join(f"importlib.import_module({n!r})" for n in names if not n.endswith("__init__"))
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{':'.join(p for p in sys.path if 'site-packages' in p)}"})
+
+
 def test_flagship(spark):
     import __spark_entry__
 
