@@ -231,3 +231,22 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(table(spark, sf_dir, "documents"))
+
+
+def _le(number: object) -> str:
+    """SQL for a number's four bytes in hexadecimal, the lowest first."""
+    return "(" + " || ".join(f"lpad(to_hex((({number}) >> {shift}) & 255), 2, '0')" for shift in (0, 8, 16, 24)) + ")"
+
+
+#: What the query returns, from the texts alone: no store, no chunks.
+SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+p AS (SELECT doc_id, length(raw) // 2 AS n_bytes, greatest(1, ceil(length(raw) / 128.0))::BIGINT * 64 AS size, raw FROM d),
+q AS (SELECT *, rpad(raw, (2 * size)::INT, '0') AS h FROM p),
+l AS (SELECT *, list_transform(range(size), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS x FROM q),
+m AS (SELECT *, '52494646' || {_le('36 + size')} || '57415645666D7420' || '10000000' || '01000100' || {_le(RATE)} || {_le(RATE)} || '01000800' || '64617461' || {_le('size')} || h AS media FROM l)
+SELECT doc_id, n_bytes, size AS payload_bytes, sha256(unhex(h)) AS payload_sha256,
+  xor(list_reduce(x[size - 63:], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS tail_crc32, size + {HEADER} AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'wav/u8/{RATE};n=' || size || ';min=' || list_min(x) || ';max=' || list_max(x) || ';sum=' || list_sum(x)::BIGINT || ';crossings=' || len(list_filter(range(1, size), lambda k: (x[k] >= 128) <> (x[k + 1] >= 128))) || ';distinct=' || list_unique(x) AS feature
+FROM m, t"""

@@ -266,3 +266,16 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the query that SQL can say: how many base spans of each kind a text has."""
+    return find(table(spark, sf_dir, "documents")).select("doc_id", *(f"n_{k}" for k in KINDS[:4]))
+
+
+SQL = r"""SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR ('0' || right(p, 4))::INT > 255)) = 0)) AS n_ip,
+  len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 14 AND 19
+    AND list_sum(list_transform(range(length(d)), lambda k: CASE WHEN k % 2 = 0 THEN d[length(d) - k]::INT WHEN d[length(d) - k]::INT > 4 THEN 2 * d[length(d) - k]::INT - 9 ELSE 2 * d[length(d) - k]::INT END)) % 10 = 0)) AS n_card,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""

@@ -15,8 +15,13 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_mixing": mixing.query,
     "op10_neighbours": neighbours.query,
+    "pii_base_counts": pii.base_counts,
+    "secret_base_counts": secrets.base_counts,
 }
 SQL = {
+    "op2_media": media.SQL,
     "op8_chat": chat.SQL,
     "op9_mixing": mixing.SQL,
+    "pii_base_counts": pii.SQL,
+    "secret_base_counts": secrets.SQL,
 }
