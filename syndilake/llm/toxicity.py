@@ -8,6 +8,7 @@ the two say apart. The model is fitted on a bounded sample of labelled rows; sco
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -214,8 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = pa.schema([("doc_id", pa.string()), ("label", pa.int32()), ("terms", pa.binary())])
     got = mapped(own, rows, "doc_id string, label int, terms binary", schema)
-    got = got.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy(F.length("doc_id"), "doc_id").toPandas()  # `sample` rows of SPACE slots at most
-    return fit([np.frombuffer(x, np.uint32) for x in got["terms"]], got["label"].to_numpy() > 0, most=most)
+    got = got.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms"))  # `sample` rows of SPACE slots at most
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        found = sorted(((len(i), i, y, x) for batch in batches for i, y, x in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[:2])
+        yield {"model": [pickle.dumps(fit([np.frombuffer(x, np.uint32) for *_, x in found], np.array([y > 0 for *_, y, _ in found]), most=most))]}
+
+    one = mapped(got.repartition(1), fitted, "model binary", pa.schema([("model", pa.binary())])).first()
+    return pickle.loads(one["model"])  # bytes that the task made
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
