@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Cuts after which the driver collects garbage.
+CUTS = 12
+_cuts = count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own. Shuffle files, broadcasts and plans of what was cut
+    off go when the driver's JVM collects garbage; it's asked to now and then, so that loops don't pile them up.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -30,6 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="syndilake-"))
+    if next(_cuts) % CUTS == 0:
+        context._jvm.System.gc()
     return df.checkpoint()
 
 

@@ -18,7 +18,7 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     """A node's smaller neighbours, and itself, point to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").filter("b <> m").select("b", "m")
     return moved.toDF("a", "b").union(least.toDF("a", "b"))
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Both star operations keep what is connected; when a round changes nothing, each node points to its component.
     Self-links and repeated edges don't matter; nulls are left out. No node's neighbours are gathered in one place:
-    minima are pre-aggregated and cut off, so that a star's centre is a join key whose partition Spark can split. The number of rounds
+    minima are pre-aggregated, and cut off where centres of stars meet their points, so that such a centre is a join key
+    whose partition Spark can split. The number of rounds
     grows with the logarithm of the nodes.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
