@@ -13,22 +13,26 @@ from __future__ import annotations
 import pickle
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, islice
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import MOST_UNITS, Vocabulary, default, pack, vocabulary
+from .bpe import MOST_BYTES, MOST_UNITS, Vocabulary, default, pack, vocabulary
 from .common import mapped, table
 
 #: Pre-tokens of a block; it's split when it has twice as many.
 FILL = 64
 #: Characters behind its end that decide where a match ends, white space apart: contractions look at two.
 CONTEXT = 3
+#: Bytes of new pre-tokens up to which the merging rule, pair by pair, is quicker than a replay over all of them.
+FEW = 256
+
+_PACKED = [n.to_bytes(4, "little") for n in range(512)]
 
 Edit = tuple[int, int, str]
 
@@ -172,38 +176,59 @@ class Tree:
         return tree
 
 
-def sizes(coder: Vocabulary, words: list[str]) -> list[int]:
-    """Tokens of each pre-token."""
-    waiting = {}
+def learned(coder: Vocabulary, words: Iterable[str]) -> None:
+    """Sees to it that the vocabulary knows the pre-tokens: those of few bytes in all by the merging rule, more by replay."""
+    waiting: dict[str, bytes] = {}
+    size = 0
+
+    def replayed() -> None:
+        few = size < FEW
+        coder.words.update(zip(waiting, [pack(coder.one(x)) for x in waiting.values()] if few else coder.replay(list(waiting.values()))))
+        waiting.clear()
+
     for w in words:
         if w not in coder.words and w not in waiting:
             raw = w.encode("utf-8", "surrogatepass")
+            coder.held += 2 * len(w)
             if (rank := coder.ranks.get(raw)) is not None:
                 coder.words[w] = pack([rank])
             else:
                 waiting[w] = raw
-    if waiting:
-        coder.words.update(zip(waiting, coder.replay(list(waiting.values()))))
-        coder.held += 2 * sum(map(len, waiting))
+                size += len(raw)
+                if size > MOST_BYTES:
+                    replayed()
+                    size = 0
+    replayed()
+
+
+def sizes(coder: Vocabulary, words: list[str]) -> list[int]:
+    """Tokens of each pre-token."""
+    learned(coder, words)
     return [len(coder.words[w]) // 4 for w in words]
 
 
 class Shapes:
-    """Characters and tokens of the pre-tokens of each unit that a vocabulary has numbered."""
+    """Characters and tokens of the pre-tokens of each unit that a vocabulary has numbered, as packed integers."""
 
     def __init__(self, coder: Vocabulary) -> None:
         self.coder, self.chars, self.tokens = coder, [], []
 
     def trees(self, texts: list[str]) -> list[Tree]:
-        numbered = [self.coder.number(x) for x in texts]
-        self.coder.learn()
-        words, split = self.coder.words, self.coder.pattern.findall
-        for unit in islice(self.coder.units, len(self.chars), None):
-            own = split(unit)
-            self.chars.append(list(map(len, own)))
-            self.tokens.append([len(words[w]) // 4 for w in own])
-        chars, tokens = self.chars, self.tokens
-        return [Tree(x, array("i", [c for n in own for c in chars[n]]), array("i", [t for n in own for t in tokens[n]])) for x, own in zip(texts, numbered)]
+        coder = self.coder
+        numbered = [coder.number(x) for x in texts]
+        split = list(map(coder.pattern.findall, islice(coder.units, len(self.chars), None)))
+        learned(coder, chain.from_iterable(split))
+        words = coder.words
+        for own in split:
+            if len(own) == 1 and len(own[0]) < len(_PACKED) // 4:  # a pre-token has no more tokens than bytes
+                self.chars.append(_PACKED[len(own[0])])
+                self.tokens.append(_PACKED[len(words[own[0]]) >> 2])
+            else:
+                self.chars.append(array("i", map(len, own)).tobytes())
+                self.tokens.append(array("i", [len(words[w]) >> 2 for w in own]).tobytes())
+            coder.held += len(self.chars[-1])
+        chars, tokens = self.chars.__getitem__, self.tokens.__getitem__
+        return [Tree(x, array("i", b"".join(map(chars, own))), array("i", b"".join(map(tokens, own)))) for x, own in zip(texts, numbered)]
 
     def forget(self) -> None:
         self.coder.forget()
