@@ -23,6 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Cuts after which the driver collects garbage.
 CUTS = 12
 _cuts = count(1)
+#: The size in bytes that Spark takes for a table it knows nothing of.
+UNKNOWN = (1 << 63) - 1
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only a local session without that setting gets a folder of its own. Shuffle files, broadcasts and plans of what was cut
     off go when the driver's JVM collects garbage; it's asked to now and then, so that loops don't pile them up.
+
+    A checkpoint keeps the size that Spark has estimated for it, and that of a join is the product of its sides: in a loop the
+    number's digits double with each join, until the number alone fills the driver. From UNKNOWN on it's forgotten.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -39,7 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="syndilake-"))
     if next(_cuts) % CUTS == 0:
         context._jvm.System.gc()
-    return df.checkpoint()
+    return _sized(df.checkpoint())
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A checkpoint whose estimated size is UNKNOWN at most; its rows, partitions and order are the same."""
+    spark = df.sparkSession
+    run = df._jdf.queryExecution()
+    if int(run.optimizedPlan().stats().sizeInBytes()) <= UNKNOWN:
+        return df
+    jvm, plan, session = spark._jvm, run.logical(), spark._jsparkSession
+    nothing, known = getattr(getattr(jvm.scala, "None$"), "MODULE$"), jvm.scala.Option.apply(plan.constraints())
+    plan = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, nothing, known)
+    return DataFrame(getattr(getattr(jvm.org.apache.spark.sql.classic, "Dataset$"), "MODULE$").ofRows(session, plan), spark)
 
 
 def scratch(spark: SparkSession) -> str:

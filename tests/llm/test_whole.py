@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from syndilake.llm import bpe, chat, media, mixing, neighbours, pii, resemblance, secrets, simhash, tokens, toxicity
+from syndilake.llm.common import cut
+from syndilake.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -440,3 +442,17 @@ def test_neighbours_in_clusters_need_little_of_the_index(spark):
     held = np.zeros((k, k))
     np.add.at(held, (a, b), 1)
     assert neighbours.needed(unit, first, second, 12, held, 5) < 0.2
+
+
+def test_estimated_sizes_stay_bounded_in_loops(spark):
+    """Spark multiplies the sizes of a join's sides; a loop of cuts doubled the number's digits with each, on the driver."""
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    rows = cut(spark.range(6).select("id", (F.col("id") % 2).alias("odd")))
+    for _ in range(5):
+        rows = cut(rows.join(rows.select("id"), "id").repartition(3, "id"))
+    assert size(rows) < 1 << 63 and rows.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, rows.collect())) == [(k, k % 2) for k in range(6)]
+    path = spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components(path)
+    assert size(found) < 1 << 63
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(1, 101)]
