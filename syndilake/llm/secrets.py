@@ -4,9 +4,10 @@ Every run of at least LEAST characters of the secrets' alphabet is a candidate,
 words: letters in one case, perhaps with a capital, up to PLAIN at a stretch, joined by the alphabet's other signs. The
 network (numpy alone) sees it with what stands before and after: one-hot characters, filters of WIDTH characters, their
 largest values before, in and after the candidate, and a linear layer. Of a candidate that is longer than the network's
-view every part is seen, and the likeliest counts. It's fitted to labelled findings: candidates of a bounded sample of
-the corpus, labelled by the patterns, and made-up ones of known shapes. The others set Platt's calibration, and the
-highest threshold that keeps RECALL of the positives.
+view every part is seen, and the likeliest counts. It's fitted to labelled findings: the different candidates of the whole
+corpus, labelled by the patterns, and made-up ones of known shapes. Three quarters are dealt to shards; in each round every
+shard goes on from the same network, over its own candidates and the made-up ones, and the networks are averaged. The
+other quarter sets Platt's calibration, and the highest threshold that keeps RECALL of the positives.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from .common import cut, mapped, table
 from .spans import Covered, Span, written
 
 KINDS = ("assign", "access", "hex", "cnn")
-#: Texts that labelled candidates are taken from at most (the first by hash of the text), candidates of them, made-up
-#: findings, share of the positives that the threshold keeps.
-SAMPLE, LABELLED, MADE_UP, RECALL = 20_000, 3_000, 2_400, 0.995
+#: Labelled candidates that one task fits a network to, made-up findings, share of the positives that the threshold keeps.
+SHARD, MADE_UP, RECALL = 8_192, 2_400, 0.995
+EPOCHS, RATE = 8, 0.02
+#: Steps of a logit when held-out candidates are counted, and of a parameter when networks are averaged: sums are exact.
+STEPS, PARTS = 256, 1 << 32
 LEAST, PLAIN, BEFORE, INSIDE, AFTER, WIDTH, FILTERS = 8, 15, 24, 40, 8, 5, 16
 #: Windows that the network reads at a time.
 AT_ONCE = 8_192
@@ -106,23 +109,25 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 8, rate: float = 0.02) -> Network:
-    """Adam on three quarters of the rows; the rest calibrates and sets the threshold."""
-    rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (WIDTH, CODES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS))
-    order = rng.permutation(len(x))
-    held, use = order[: len(x) // 4], order[len(x) // 4 :]
-    names = ("table", "bias", "out")
-    m = {c: np.zeros_like(getattr(net, c)) for c in names}
-    v = {c: np.zeros_like(getattr(net, c)) for c in names}
-    step = 0
-    for _ in range(epochs):
-        use = rng.permutation(use)
-        for k in range(0, len(use), 128):
-            rows = use[k : k + 128]
-            own, want = x[rows], y[rows]
+NAMES = ("table", "bias", "out")
+
+
+class Fit:
+    """A network and Adam's moments. Seeds make the first one the same everywhere."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        self.net = Network(rng.normal(0, 0.1, (WIDTH, CODES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS))
+        self.m = {c: np.zeros_like(getattr(self.net, c)) for c in NAMES}
+        self.v = {c: np.zeros_like(getattr(self.net, c)) for c in NAMES}
+        self.step = 0
+
+    def go_over(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One pass over the rows in their order."""
+        net = self.net
+        for k in range(0, len(x), 128):
+            own, want = x[k : k + 128], y[k : k + 128]
             top, at = net.pooled(own)
-            g = (1 / (1 + np.exp(-np.clip(top @ net.out + net.out_bias, -30, 30))) - want) / len(rows)
+            g = (1 / (1 + np.exp(-np.clip(top @ net.out + net.out_bias, -30, 30))) - want) * weight[k : k + 128] / len(own)
             back = (g[:, None] * net.out * (top > 0)).reshape(at.shape)
             grad = {"out": top.T @ g + 1e-4 * net.out, "bias": back.sum((0, 1)), "table": 1e-4 * net.table}
             filters = np.broadcast_to(np.arange(FILTERS), at.shape)
@@ -130,28 +135,59 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 8, rate: floa
                 codes = np.take_along_axis(own, (at + w).reshape(len(own), -1), 1).reshape(at.shape)
                 np.add.at(grad["table"][w], (codes, filters), back)
             net.out_bias -= rate * float(g.sum())
-            step += 1
-            for c in names:
-                m[c] = 0.9 * m[c] + 0.1 * grad[c]
-                v[c] = 0.999 * v[c] + 0.001 * grad[c] ** 2
-                getattr(net, c)[...] -= rate * (m[c] / (1 - 0.9**step)) / (np.sqrt(v[c] / (1 - 0.999**step)) + 1e-8)
-    s, t = net.logits(x[held]), y[held]
-    net.scale, net.shift = platt(s, t)
-    p = np.sort(net.probability(x[held])[t > 0])
-    net.threshold = float(p[int((1 - RECALL) * len(p))]) if len(p) else 1.0
-    return net
+            self.step += 1
+            for c in NAMES:
+                self.m[c] = 0.9 * self.m[c] + 0.1 * grad[c]
+                self.v[c] = 0.999 * self.v[c] + 0.001 * grad[c] ** 2
+                getattr(net, c)[...] -= rate * (self.m[c] / (1 - 0.9**self.step)) / (np.sqrt(self.v[c] / (1 - 0.999**self.step)) + 1e-8)
+
+    def flat(self) -> np.ndarray:
+        """All parameters and moments, and the number of steps."""
+        return np.concatenate([*(x[c].ravel() for x in (vars(self.net), self.m, self.v) for c in NAMES), [self.net.out_bias, self.step]])
+
+    def put(self, flat: np.ndarray) -> None:
+        at = 0
+        for x in (vars(self.net), self.m, self.v):
+            for c in NAMES:
+                x[c] = flat[at : at + x[c].size].reshape(x[c].shape).copy()
+                at += x[c].size
+        self.net.out_bias, self.step = float(flat[-2]), max(1, round(flat[-1]))
+
+
+def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> Network:
+    """Adam on three quarters of the rows; the rest calibrates and sets the threshold."""
+    rng = np.random.default_rng(seed)
+    own = Fit(rng)
+    order = rng.permutation(len(x))
+    held, use = order[: len(x) // 4], order[len(x) // 4 :]
+    for _ in range(epochs):
+        use = rng.permutation(use)
+        own.go_over(x[use], y[use], np.ones(len(use)), rate)
+    settle(own.net, own.net.logits(x[held]), y[held], np.ones(len(held)))
+    return own.net
+
 
+def settle(net: Network, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    """Calibration and threshold by logits s of held-out rows: the least positive one of those that RECALL needs."""
+    net.scale, net.shift = platt(s, y, weight)
+    order = np.argsort(s, kind="stable")
+    s, lost = s[order], np.cumsum((weight * y)[order])
+    net.threshold = 1.0
+    if len(s) and lost[-1]:
+        least = s[np.searchsorted(lost, (1 - RECALL) * lost[-1], "right")]
+        net.threshold = float(1 / (1 + np.exp(-np.clip(net.scale * least + net.shift, -30, 30))))
 
-def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+
+def platt(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Scale and shift of the logistic fit of y to s with smoothed labels, by damped Newton steps."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+    n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        r = p * (1 - p) + 1e-6
+        r, off = weight * (p * (1 - p) + 1e-6), weight * (p - t)
         h = np.array([[(r * s * s).sum() + 1e-3, (r * s).sum()], [(r * s).sum(), r.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, [((p - t) * s).sum(), (p - t).sum()])
+        da, db = np.linalg.solve(h, [(off * s).sum(), off.sum()])
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
@@ -202,28 +238,106 @@ def made_up(n: int = MADE_UP, seed: int = 3) -> tuple[list[str], list[int]]:
     return shown, labels
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Labels of the corpus come from patterned(): candidates that it covers are secrets, the sample's others aren't.
-
-    Null, empty and repeated texts, ids and other columns don't matter; an empty table leaves the made-up findings.
-    """
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(window, label) of all candidates of the corpus, each once: 1 if a pattern covers the candidate."""
     own = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.length("text") >= LEAST)
-    chosen = own.select("text", F.xxhash64("text").alias("h"))
-    first = cut(chosen.select("h").distinct().orderBy("h").limit(SAMPLE))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
+            found = set()
             for x in batch.column(0):
                 text = x.as_py()
                 covered = Covered(patterned(text))
-                found = [(w, int(covered.meets(a, b))) for a, b in candidates(text) for w in windows(text, a, b)]
-                yield {"window": [w for w, _ in found], "label": [y for _, y in found]}
+                found.update((w, int(covered.meets(a, b))) for a, b in candidates(text) for w in windows(text, a, b))
+            yield {"window": [w for w, _ in found], "label": [y for _, y in found]}
+
+    return mapped(own, rows, "window string, label int", pa.schema([("window", pa.string()), ("label", pa.int32())])).distinct()
+
 
-    taken = mapped(chosen.join(F.broadcast(first), "h", "left_semi").select("text"), rows, "window string, label int", pa.schema([("window", pa.string()), ("label", pa.int32())]))
-    taken = cut(taken.distinct().withColumn("h", F.xxhash64("window")))
-    ranked = [r for label in (0, 1) for r in taken.filter(F.col("label") == label).orderBy("h", "window").limit(LABELLED // 2).collect()]
+def train(docs: DataFrame, text_col: str = "text", seed: int = 5) -> Network:
+    """Labels of the corpus come from patterned(): candidates that it covers are secrets, the others aren't. All count.
+
+    Of each label the corpus weighs as much as the made-up findings in every shard at most. Null, empty and repeated texts,
+    ids, other columns and the partitions don't matter; an empty table leaves the made-up findings.
+    """
     shown, labels = made_up()
-    return fit(encoded([r["window"] for r in ranked] + shown), np.array([r["label"] for r in ranked] + labels, np.float64))
+    made, truth = encoded(shown), np.array(labels, np.float64)
+    all_ = cut(labelled(docs, text_col).withColumn("h", F.xxhash64("window")))
+    counts = {(r.held, r.label): r["count"] for r in all_.groupBy((F.pmod("h", F.lit(4)) == 0).alias("held"), "label").count().collect()}
+    total = counts.get((False, 0), 0) + counts.get((False, 1), 0)
+    if not total:
+        return fit(made, truth, seed)
+    shards = -(-total // SHARD)
+    order = np.random.default_rng(seed).permutation(len(made))
+    kept, use = order[: len(made) // 4], order[len(made) // 4 :]
+    made, truth, spare, their = made[use], truth[use], made[kept], truth[kept]
+    share = np.array([min(1.0, float((truth == c).sum()) * shards / max(1, counts.get((False, c), 0))) for c in (0, 1)])
+    dealt = all_.filter(F.pmod("h", F.lit(4)) != 0).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    dealt = cut(dealt.select("shard", "window", "label", "h").repartition("shard").sortWithinPartitions("shard", "h", "window", "label"))
+    own = Fit(np.random.default_rng(seed))
+    for turn in range(EPOCHS):
+        sums = _round(dealt, own, turn, seed, made, truth, share)
+        flat = np.zeros(len(own.flat()))
+        for r in sums.collect():
+            flat[r.place] = int(r.total) / (total * PARTS)
+        own.put(flat)
+    net = own.net
+    held = _counted(all_.filter(F.pmod("h", F.lit(4)) == 0), net).collect()
+    s = np.concatenate([np.array([r.step / STEPS for r in held]), net.logits(spare)])
+    y = np.concatenate([np.array([r.label for r in held], np.float64), their])
+    settle(net, s, y, np.concatenate([np.array([r["count"] * share[r.label] / shards for r in held]), np.ones(len(their))]))
+    return net
+
+
+def _round(dealt: DataFrame, own: Fit, turn: int, seed: int, made: np.ndarray, truth: np.ndarray, share: np.ndarray) -> DataFrame:
+    """(place, total) of each parameter: the sum over all shards, each by its rows, in whole PARTS. dealt: sorted by shard."""
+    start, made = own.flat(), made.astype(np.uint8)
+    kind = "place int, total long"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, windows, labels, done = None, [], [], 0
+        sums = np.zeros(len(start), np.int64)
+
+        def close() -> None:
+            nonlocal done
+            if not windows:
+                return
+            done += 1
+            one, y = Fit(np.random.default_rng(seed)), np.array(labels)
+            one.put(start) if turn else None
+            x, want = np.concatenate([encoded(windows), made.astype(np.int64)]), np.concatenate([y, truth])
+            order = np.random.default_rng([seed, turn, at]).permutation(len(x))
+            one.go_over(x[order], want[order], np.concatenate([share[y], np.ones(len(truth))])[order], RATE)
+            sums[...] += len(y) * np.rint(one.flat() * PARTS).astype(np.int64)
+
+        for batch in batches:
+            for shard, window_, label in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if shard != at:
+                    close()
+                    at, windows, labels = shard, [], []
+                    if done == 64:  # before the sums outgrow 64 bits
+                        yield {"place": np.arange(len(sums), dtype=np.int32), "total": sums.copy()}
+                        sums[...] = done = 0
+                windows.append(window_)
+                labels.append(label)
+        close()
+        some = np.flatnonzero(sums)
+        yield {"place": some.astype(np.int32), "total": sums[some]}
+
+    found = mapped(dealt.select("shard", "window", "label"), rows, kind, pa.schema([("place", pa.int32()), ("total", pa.int64())]))
+    return found.groupBy("place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+
+
+def _counted(held: DataFrame, net: Network) -> DataFrame:
+    """(step, label, count): how many held-out candidates have a logit from step / STEPS up to the next."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            s = np.clip(net.logits(encoded(batch.column(0).to_pylist())), -30, 30)
+            yield {"step": np.floor(s * STEPS).astype(np.int32), "label": batch.column(1)}
+
+    found = mapped(held.select("window", "label"), rows, "step int, label int", pa.schema([("step", pa.int32()), ("label", pa.int32())]))
+    return found.groupBy("step", "label").count()
 
 
 def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -456,3 +456,17 @@ def test_estimated_sizes_stay_bounded_in_loops(spark):
     found = components(path)
     assert size(found) < 1 << 63
     assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(1, 101)]
+
+
+def test_network_learns_from_every_candidate(spark, monkeypatch):
+    """So do the last 40 of 4,000, by the hash of what the network sees; partitions and repeated texts change nothing."""
+    monkeypatch.setattr(secrets, "SHARD", 1_500, raising=False)
+    monkeypatch.setattr(secrets, "EPOCHS", 2, raising=False)
+    docs = spark.range(4_000).select(F.concat(F.lit("see part "), F.hex(F.xxhash64("id"))).alias("text"))
+    rows = [r.text for r in docs.collect()]
+    ranked = [r.text for r in docs.orderBy(F.xxhash64(F.rpad(F.concat(F.lpad(F.lit("see part "), 24, "\0"), F.substring("text", 10, 99)), 72, "\0"))).collect()]
+    parameters = lambda texts, n: secrets.train(spark.createDataFrame([(x,) for x in texts], "text string").repartition(n)).table
+    whole = parameters(rows, 3)
+    assert np.array_equal(whole, parameters([*rows, *rows[:9], "", None], 5))
+    last = set(ranked[-40:])
+    assert not np.array_equal(whole, parameters([x for x in rows if x not in last], 3))
