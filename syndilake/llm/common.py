@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     off go when the driver's JVM collects garbage; it's asked to now and then, so that loops don't pile them up.
 
     A checkpoint keeps the size that Spark has estimated for it, and that of a join is the product of its sides: in a loop the
-    number's digits double with each join, until the number alone fills the driver. From UNKNOWN on it's forgotten.
+    number's digits double with each join, in plans that the driver holds. From UNKNOWN on it's forgotten.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
