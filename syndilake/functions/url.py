@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,25 +81,15 @@ def site(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Registrable domain by a suffix list: one label more than the longest suffix; IP addresses and others are themselves.
 
     A suffix that the list lacks counts as one label, as the list's algorithm has it. A host that is itself a suffix is
-    its own site. The list is part of the expression: for some hundred suffixes; operators.sites takes a whole list.
+    its own site. The list is part of the expression, a pattern: for some hundred suffixes; operators.sites takes a whole list.
     """
     name = bare_host(url)
-    labels = F.split(name, r"\.")
-    n = F.size(labels)
-    plain = F.array(*(F.lit(s) for s in suffixes if s[0] not in "*!"))
-    wild = F.array(*(F.lit(s[2:]) for s in suffixes if s[0] == "*"))
-    exempt = F.array(*(F.lit(s[1:]) for s in suffixes if s[0] == "!"))
-    tail = lambda k: F.array_join(F.slice(labels, k, F.greatest(F.lit(0), n - k + 1)), ".")
-
-    def length(k: Column) -> Column:
-        """Labels of the suffix that starts at label k, 0 if there is none."""
-        whole, rest = tail(k), tail(k + 1)
-        return F.when(F.array_contains(exempt, whole), n - k).when(F.array_contains(plain, whole) | F.array_contains(wild, rest), n - k + 1).otherwise(0)
-
-    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    spared = F.exists(places, lambda k: F.array_contains(exempt, tail(k)))
-    longest = F.when(spared, F.array_max(F.transform(places, lambda k: F.when(F.array_contains(exempt, tail(k)), n - k).otherwise(0)))).otherwise(
-        F.greatest(F.array_max(F.transform(places, length)), F.lit(1))
-    )
-    own = F.array_join(F.slice(labels, F.greatest(F.lit(1), n - longest), longest + 1), ".")
-    return F.when(is_address(name), name).when(n <= longest, name).otherwise(own)
+    exempt = "|".join(re.escape(s[1:]) for s in suffixes if s[0] == "!")
+    known = [re.escape(s) for s in suffixes if s[0] not in "*!"] + [rf"[^.]*\.{re.escape(s[2:])}" for s in suffixes if s[0] == "*"]
+    suffix = f"(?:{'|'.join(known) or '(?!)'})"
+    # the first match is the longest: the name is a suffix, or a label stands before one, or one label before another
+    own = F.regexp_extract(name, rf"(?:^{suffix}|(?:^|(?<=\.))[^.]*\.(?:{suffix}|[^.]*)|^[^.]*)\z", 0)
+    if exempt:
+        spared = F.regexp_extract(name, rf"(?:^|(?<=\.))(?:{exempt})\z", 0)
+        own = F.when(spared != "", spared).otherwise(own)
+    return F.when(is_address(name), name).otherwise(own)

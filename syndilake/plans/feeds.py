@@ -136,8 +136,11 @@ def sniffed(feeds: DataFrame) -> DataFrame:
 
 
 def sites(feeds: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
-    """Distinct sites that host feeds."""
-    return with_site(feeds.select("url"), F.col("url"), suffixes).filter(F.col("site") != "").agg(F.countDistinct("site").alias("sites"))
+    """Distinct sites that host feeds.
+
+    Empty ones become null instead of being filtered: a filter would be pushed below what made feeds of many rows.
+    """
+    return with_site(feeds.select("url"), F.col("url"), suffixes).agg(F.countDistinct(F.nullif("site", F.lit(""))).alias("sites"))
 
 
 def errors(feeds: DataFrame) -> DataFrame:
