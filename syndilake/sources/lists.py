@@ -11,12 +11,15 @@ from pathlib import Path
 from typing import BinaryIO
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 from ..functions.url import normalize_url
+from ..operators.batches import pieces
 from ..operators.sites import with_site
 from . import stores
 
@@ -178,14 +181,25 @@ def outlines(body: bytes | None) -> list[dict]:
     return out
 
 
+def entries(batches: Iterator[pa.RecordBatch], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """path and the columns of schema.OPML_ENTRY for batches of path and document, a piece at a time."""
+    for batch in batches:
+        paths, bodies = batch.columns
+        for start, end in pieces(bodies):
+            rows = [{"path": paths[k].as_py(), **e} for k in range(start, end) for e in outlines(bodies[k].as_py())]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
 def opml(files: DataFrame, body: Column | None = None) -> DataFrame:
-    """feed_url, html_url, title, pos: the first entry of each feed, in the documents' order. files: path, content."""
+    """feed_url, html_url, title, pos: the first entry of each feed, in the documents' order. files: path, content.
 
-    @F.pandas_udf(f"array<{schema.OPML_ENTRY.simpleString()}>")
-    def each(bodies: pd.Series) -> pd.Series:
-        return pd.Series([outlines(x) for x in bodies])
+    Python holds the entries of one piece of a batch at a time; entries are many times as large as their documents.
+    """
+    own = files.select("path", (body if body is not None else F.col("content")).alias("_body"))
+    target = T.StructType([own.schema["path"], *schema.OPML_ENTRY.fields])
+    arrow = to_arrow_schema(target)
 
-    found = files.select("path", F.explode(each(body if body is not None else F.col("content"))).alias("e")).select("path", "e.*")
+    found = own.mapInArrow(lambda batches: entries(batches, arrow), target)
     found = found.withColumns({"feed_url": normalize_url(F.col("feed_url")), "html_url": F.when(F.col("html_url").isNotNull(), normalize_url(F.col("html_url")))})
     first = F.row_number().over(Window.partitionBy("feed_url").orderBy("path", "pos"))
     return found.withColumn("_n", first).filter("_n = 1").select("feed_url", "html_url", "title", "pos")

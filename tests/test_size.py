@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from syndilake.functions import url
+from syndilake.operators.batches import pieces
 from syndilake.plans import feeds as reports
+from syndilake.sources import lists
 
 
 def registrable(name, suffixes):
@@ -38,3 +41,28 @@ def test_sites_are_found_once_for_each_feed(spark):
     assert plan.count("regexp_extract") < 40
     assert found.first().sites == 1
     assert reports.sites(spark.createDataFrame([("http:///x",), ("http://a.org",), (None,)], "url string")).first().sites == 1
+
+
+def test_pieces():
+    bodies = pa.array([b"x" * 600, None, b"", b"x" * 600, b"x" * 5000, b"x"])
+    assert list(pieces(bodies, 1024)) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    assert list(pieces(bodies, 4096)) == [(0, 4), (4, 5), (5, 6)]
+    assert list(pieces(bodies.slice(4), 8192)) == [(0, 2)] and list(pieces(bodies.slice(6))) == []
+
+
+def test_opml_is_handed_back_in_pieces(spark, monkeypatch):
+    """A batch of many documents isn't held as entries; the plan has no array of all entries of a batch."""
+    document = b"<opml><body>" + b"".join(b'<outline text="t" xmlUrl="http://e.org/%d"/>' % k for k in range(100)) + b"</body></opml>"
+    seen = []
+    monkeypatch.setattr(lists, "outlines", lambda body, real=lists.outlines: seen.append(1) or real(body))
+    arrow = pa.schema([("path", pa.string()), ("feed_url", pa.string()), ("html_url", pa.string()), ("title", pa.string()), ("pos", pa.int32())])
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(2000)], "_body": pa.array([document] * 1999 + [None], pa.binary())})
+    rows = 0
+    for found in lists.entries(iter([batch]), arrow):
+        assert len(seen) <= 1024 and found.nbytes < 8 << 20  # documents read since the last piece
+        seen.clear()
+        rows += found.num_rows
+    assert rows == 1999 * 100
+    own = lists.opml(spark.createDataFrame([("a", document), ("b", document)], "path string, content binary"))
+    assert "MapInArrow" in own._jdf.queryExecution().optimizedPlan().toString()
+    assert own.count() == 100
