@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from syndilake.functions import url
+from syndilake.operators import feed_parser
 from syndilake.operators.batches import pieces
 from syndilake.plans import feeds as reports
 from syndilake.sources import lists
@@ -66,3 +67,21 @@ def test_opml_is_handed_back_in_pieces(spark, monkeypatch):
     own = lists.opml(spark.createDataFrame([("a", document), ("b", document)], "path string, content binary"))
     assert "MapInArrow" in own._jdf.queryExecution().optimizedPlan().toString()
     assert own.count() == 100
+
+
+def test_feeds_are_handed_back_in_pieces(spark, monkeypatch):
+    """A batch of many documents isn't held as structs."""
+    document = b"<rss><channel>" + b"".join(b"<item><title>%d</title></item>" % k for k in range(100)) + b"</channel></rss>"
+    seen, real = [], feed_parser.parse
+    monkeypatch.setattr(feed_parser, "parse", lambda body: seen.append(1) or real(body))
+    bodies, taken = [document] * 1999 + [None], {}
+    own = spark.createDataFrame([("a", document), ("b", None)], "url string, body binary")
+    monkeypatch.setattr(type(own), "mapInArrow", lambda self, run, target: taken.update(run=run))
+    feed_parser.parsed(own)
+    rows = []
+    for found in taken["run"](iter([pa.RecordBatch.from_pydict({"url": [str(k) for k in range(2000)], "_body": pa.array(bodies, pa.binary())})])):
+        assert len(seen) <= 1024  # documents parsed since the last piece
+        seen.clear()
+        rows += found.select(["url"]).to_pydict()["url"]
+        assert found.column("parsed")[0].as_py()["entries_count"] == 100
+    assert rows == [str(k) for k in range(2000)]
