@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ MARKERS = {
 HEADERS = ("server", "x-generator", "x-powered-by", "x-drupal-cache", "x-drupal-dynamic-cache")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once; in what functions of arrays are given, Spark computes each mention of it anew."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _labels(tests: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(test, F.lit(label)) for label, test in tests.items()))))
 
@@ -36,8 +43,7 @@ def _named(value: Column, patterns: tuple[str, ...]) -> Column:
 
 def of_value(value: Column) -> Column:
     """Sorted labels of the platforms that a value names."""
-    low = F.lower(F.coalesce(value, F.lit("")))
-    return _labels({label: _named(low, patterns) for label, patterns in PATTERNS.items()})
+    return _once(F.lower(F.coalesce(value, F.lit(""))), lambda low: _labels({label: _named(low, patterns) for label, patterns in PATTERNS.items()}))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -52,7 +58,10 @@ def of_headers(headers: Column) -> Column:
 
 def of_html(html: Column) -> Column:
     """Labels by <meta name="generator"> in any order of attributes, and by bytes of the page's head."""
-    head = marked_head(html)
+    return _once(marked_head(html), _of_head)
+
+
+def _of_head(head: Column) -> Column:
     behind = F.slice(F.split(head, r"<meta(?=\s)"), 2, MARKED_BYTES)
     tags = F.transform(F.filter(behind, lambda t: t.contains(">")), lambda t: F.substring_index(t, ">", 1))
     attribute = lambda t, name: F.regexp_extract(t, rf"(?<=[\s'\"]){name}\s*=\s*(?:'([^']*)'|\"([^\"]*)\")", 0)

@@ -7,7 +7,7 @@ from itertools import product
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from syndilake.functions import url
+from syndilake.functions import platforms, url
 from syndilake.operators import feed_parser
 from syndilake.operators.batches import pieces
 from syndilake.plans import feeds as reports
@@ -85,3 +85,12 @@ def test_feeds_are_handed_back_in_pieces(spark, monkeypatch):
         rows += found.select(["url"]).to_pydict()["url"]
         assert found.column("parsed")[0].as_py()["entries_count"] == 100
     assert rows == [str(k) for k in range(2000)]
+
+
+def test_a_page_is_decoded_once(spark):
+    """Its head isn't computed anew for each marker, nor what a generator names for each platform."""
+    page = b"<html><meta content='Drupal 9' name='generator'><meta name=\"generator\" content=\"x wp.com\"><script src='https://CDN.shopify.com/a'>"
+    rows = spark.createDataFrame([(page,), (b"<meta name='generator'",), (b"",), (None,)], "html binary")
+    found = rows.select(platforms.of_html(F.col("html")).alias("f"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("html#") <= 3
+    assert [r.f for r in found.collect()] == [["drupal", "shopify", "wordpress"], [], [], []]
